@@ -79,18 +79,15 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def steps(batch: pa.RecordBatch, text: str, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about ``size`` text bytes each (always one row at least)."""
-    if not batch.num_rows:
-        return
-    i = batch.schema.get_field_index(text)
-    column = strings(batch.column(i))
-    batch = batch.set_column(i, pa.field(text, pa.large_string()), column)
+def steps(batch: pa.RecordBatch, text: str, size: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of a batch of about ``size`` text bytes (one row at least), each with its texts,
+    nulls read as empty."""
+    column = strings(batch.column(batch.schema.get_field_index(text)))
     ends = raw(column)[1]
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
-        yield batch.slice(at, to - at)
+        yield batch.slice(at, to - at), column.slice(at, to - at)
         at = to
 
 

@@ -98,8 +98,8 @@ def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _signatures(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, "text"):
-                grams, bounds = shingles(*raw(part.column("text")), n)
+            for part, texts in steps(batch, "text"):
+                grams, bounds = shingles(*raw(texts), n)
                 sizes = np.diff(bounds)
                 keys = band_keys(sketch(grams, bounds, bands * rows), bands, rows)
                 sums = []
@@ -115,8 +115,8 @@ def _signatures(n: int, bands: int, rows: int):
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, "text"):
-                grams, bounds = shingles(*raw(part.column("text")), n)
+            for part, texts in steps(batch, "text"):
+                grams, bounds = shingles(*raw(texts), n)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(grams.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["id", "grams"])
 
