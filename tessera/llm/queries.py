@@ -5,10 +5,12 @@ from __future__ import annotations
 from .language_id import op9_language
 from .matroska import op8_matroska
 from .near_dedup import OP2_SQL, op2_minhash
+from .quality import op6_quality
 from .substring_dedup import OP10_SQL, op10_substring
 
 QUERIES = {
     "op2_minhash": op2_minhash,
+    "op6_quality": op6_quality,
     "op8_matroska": op8_matroska,
     "op9_language": op9_language,
     "op10_substring": op10_substring,
