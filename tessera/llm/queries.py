@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op5_decontamination
 from .language_id import op9_language
 from .matroska import op8_matroska
 from .near_dedup import OP2_SQL, op2_minhash
@@ -10,6 +11,7 @@ from .substring_dedup import OP10_SQL, op10_substring
 
 QUERIES = {
     "op2_minhash": op2_minhash,
+    "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op8_matroska": op8_matroska,
     "op9_language": op9_language,
