@@ -8,9 +8,11 @@ from .matroska import op8_matroska
 from .near_dedup import OP2_SQL, op2_minhash
 from .quality import op6_quality
 from .substring_dedup import OP10_SQL, op10_substring
+from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
     "op2_minhash": op2_minhash,
+    "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op8_matroska": op8_matroska,
@@ -20,5 +22,6 @@ QUERIES = {
 
 SQL = {
     "op2_minhash": OP2_SQL,
+    "op4_url_filter": OP4_SQL,
     "op10_substring": OP10_SQL,
 }
