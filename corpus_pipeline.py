@@ -1,17 +1,77 @@
-"""The corpus pipeline: language ID, near-dedup, substring dedup, decontamination, mixing."""
+"""The corpus pipeline: language ID, near-dedup, substring dedup, decontamination, mixing.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one before kept. All but
+the last return the columns of ``documents``; the last returns the mix, a row for each time that a
+document is drawn. Each stage's result is a table in the shared folder, which the next one reads.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import stored, table
+from tessera.llm.decontamination import decontaminate
+from tessera.llm.language_id import fit, identify
+from tessera.llm.mixing import mix
+from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.substring_dedup import substring_dedup
+
+#: Words of a repeated passage that substring dedup cuts.
+PASSAGE_WORDS = 50
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents get the language that the text is in; those without any (``und``) go."""
+    known = docs.drop("lang_pred", "score")
+    out = identify(known, fit(known)).where("lang_pred <> 'und'")
+    return out.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: the one with the smallest doc_id.
+
+    Rows with a null doc_id stay; of rows that repeat doc_id and text, one stays.
+    """
+    marked = near_duplicates(docs, shingle_words=5, percent=80)
+    gone = marked.where("not kept").select("doc_id").distinct()
+    docs = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    rows, ids = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).head()
+    return docs if rows == ids else docs.dropDuplicates(["doc_id", "text"])
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of PASSAGE_WORDS words or more go from all documents but the first that has them."""
+    out = substring_dedup(docs.select(COLUMNS), min_words=PASSAGE_WORDS)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, edited or not, go."""
+    return decontaminate(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).where("not contaminated").select(COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a row for each time that a document is drawn, with its position."""
+    return mix(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", cut_passages),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
 
-STAGES: list = []
+#: Suffix automata, alignment and the bisection have no SQL form; the tests hold the stages against
+#: brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op5_decontamination
 from .html_extraction import op3_html
 from .language_id import op9_language
+from .lm_scoring import op7_lm_score
 from .matroska import op8_matroska
 from .mixing import op1_mixing
 from .near_dedup import OP2_SQL, op2_minhash
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
+    "op7_lm_score": op7_lm_score,
     "op8_matroska": op8_matroska,
     "op9_language": op9_language,
     "op10_substring": op10_substring,
