@@ -1,6 +1,146 @@
-"""Named queries of the engine with their SQL oracles."""
+"""Named queries of the engine over the warehouse tables, and their SQL oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import cluster, graph, itemsets, recommend, similarity, sketches, stats
+from ..sources import views
+from ..sources.readers import parquet
+from .oracles import SQL as SQL
+
+YEAR, SUPPORT, BATCH = 1998, 80, 300
+HASHES, ROWS = 100, 4
+SLOTS = [0, 20, 40, 60, 80]
+THRESHOLD = 7
+
+
+def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
+    for c in cols:
+        df = df.withColumn(c, F.round(c, places))
+    return df
+
+
+def joined(df: DataFrame, col: str = "items") -> DataFrame:
+    return df.withColumn(col, F.array_join(F.col(col), ","))
+
+
+def levels(s: SparkSession, d: str, kind: str, size: int) -> DataFrame:
+    out = itemsets.apriori(views.basket_items(s, d), SUPPORT, most=size)
+    cols = ["items", "n"] if kind == "frequent" else ["items"]
+    return joined(out.where((F.col("kind") == kind) & (F.col("size") == size)).select(*cols))
+
+
+def _baskets(df: DataFrame) -> DataFrame:
+    return df.groupBy("basket").agg(F.array_join(F.array_sort(F.collect_set("item")), ",").alias("items"))
+
+
+def _transposed(df: DataFrame) -> DataFrame:
+    own = itemsets.transposed(df)
+    return own.groupBy("basket").agg(F.count("*").alias("n_items"), F.min("item").alias("first"), F.max("item").alias("last"))
+
+
+def tx_baskets(s: SparkSession, d: str) -> DataFrame:
+    o, li = parquet(s, d, "orders"), parquet(s, d, "lineitem")
+    key = F.concat_ws("-", F.date_format("o_orderdate", "M/d/yy"), F.col("o_custkey").cast("string"))
+    return li.join(o, li.l_orderkey == o.o_orderkey).groupBy(key.alias("tx")).agg(F.count_distinct("l_partkey").alias("n_items"))
+
+
+def signatures(s: SparkSession, d: str) -> DataFrame:
+    return similarity.signatures(views.token_sets(s, d), HASHES)
+
+
+def pairs(s: SparkSession, d: str) -> DataFrame:
+    return similarity.candidates(similarity.bands(signatures(s, d), ROWS))
+
+
+def attributes(s: SparkSession, d: str) -> DataFrame:
+    price = F.floor(F.col("s_acctbal") / 2500).cast("string")
+    return parquet(s, d, "supplier").select(F.col("s_suppkey").alias("item"), F.create_map(F.lit("price_range"), price).alias("attributes"))
+
+
+def matrices(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    train, test = views.split(s, d)
+    users, items = recommend.user_features(train), recommend.item_features(train, attributes(s, d))
+    return recommend.feature_matrix(train, users, items), recommend.feature_matrix(test, users, items)
+
+
+def model(s: SparkSession, d: str) -> DataFrame:
+    return recommend.model_predictions(*matrices(s, d))
+
+
+def cf(s: SparkSession, d: str) -> DataFrame:
+    return recommend.cf_predictions(*views.split(s, d))
+
+
+def edges(s: SparkSession, d: str) -> DataFrame:
+    return graph.build(views.purchases(s, d), THRESHOLD)
+
+
+def halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = views.points(s, d)
+    c = cluster.summaries(p, "label")
+    return p, c.where("cluster < 5"), c.where("cluster >= 5")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "review_counts": lambda s, d: stats.summary(views.reviews(s, d), YEAR),
+    "reviews_in_year": lambda s, d: views.reviews(s, d).where(F.year("date") == YEAR).agg(F.count("*").alias("n")),
+    "distinct_users": lambda s, d: views.reviews(s, d).agg(F.count_distinct("user").alias("n")),
+    "distinct_items": lambda s, d: views.reviews(s, d).agg(F.count_distinct("item").alias("n")),
+    "top10_users": lambda s, d: stats.top_k(views.reviews(s, d), "user"),
+    "top10_items": lambda s, d: stats.top_k(views.reviews(s, d), "item"),
+    "city_avg_stars": lambda s, d: rounded(stats.city_average(views.reviews(s, d), views.cities(s, d)), "stars"),
+    "city_top10": lambda s, d: rounded(stats.best_cities(stats.city_average(views.reviews(s, d), views.cities(s, d))), "stars"),
+    "partition_report": lambda s, d: stats.chunk_report(views.reviews(s, d), "item", 10),
+    "json_props": lambda s, d: parquet(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")),
+    "tx_baskets": tx_baskets,
+    "basket_case1": lambda s, d: _baskets(views.basket_items(s, d)),
+    "basket_case2": lambda s, d: _transposed(views.basket_items(s, d)),
+    "basket_filtered": lambda s, d: _baskets(itemsets.larger_than(views.basket_items(s, d), 3)),
+    "son_candidates_1": lambda s, d: itemsets.son_candidates(views.basket_items(s, d), SUPPORT),
+    "freq_1": lambda s, d: joined(itemsets.frequent_items(views.basket_items(s, d), SUPPORT)),
+    "cand_2": lambda s, d: levels(s, d, "candidate", 2),
+    "freq_2": lambda s, d: levels(s, d, "frequent", 2),
+    "cand_3": lambda s, d: levels(s, d, "candidate", 3),
+    "freq_3": lambda s, d: levels(s, d, "frequent", 3),
+    "minhash_signatures": lambda s, d: similarity.exploded(signatures(s, d)),
+    "lsh_bands": lambda s, d: similarity.bands(signatures(s, d), ROWS),
+    "lsh_candidates": pairs,
+    "similar_pairs": lambda s, d: rounded(similarity.jaccard(views.token_sets(s, d), pairs(s, d), 0.5), "similarity"),
+    "user_avg": lambda s, d: rounded(recommend.averages(views.split(s, d)[0], "user"), "avg_stars"),
+    "item_avg": lambda s, d: rounded(recommend.averages(views.split(s, d)[0], "item"), "avg_stars"),
+    "cold_start": lambda s, d: rounded(recommend.cold_start(*views.split(s, d)), "prediction"),
+    "pearson_pairs": lambda s, d: rounded(recommend.pearson(views.split(s, d)[0]), "similarity"),
+    "top3_neighbours": lambda s, d: rounded(recommend.neighbours(*views.split(s, d), recommend.pearson(views.split(s, d)[0])).drop("rank"), "similarity"),
+    "cf_predictions": lambda s, d: rounded(cf(s, d), "prediction"),
+    "user_features": lambda s, d: rounded(recommend.user_features(views.split(s, d)[0]), "user_stars"),
+    "item_features": lambda s, d: rounded(recommend.item_features(views.split(s, d)[0], attributes(s, d)), "item_stars"),
+    "feature_matrix": lambda s, d: rounded(matrices(s, d)[1], "user_count", "user_stars", "item_count", "item_stars"),
+    "model_predictions": lambda s, d: rounded(model(s, d), "prediction"),
+    "hybrid_predictions": lambda s, d: rounded(recommend.hybrid(cf(s, d), model(s, d)), "prediction"),
+    "rmse": lambda s, d: rounded(recommend.rmse(views.split(s, d)[1], cf(s, d)), "rmse"),
+    "error_histogram": lambda s, d: recommend.error_histogram(views.split(s, d)[1], cf(s, d)),
+    "bloom_fpr": lambda s, d: sketches.bloom_fpr(views.stream(s, d, BATCH), bits=9973),
+    "fm_estimate": lambda s, d: sketches.fm_estimate(views.stream(s, d, BATCH)),
+    "exact_distinct": lambda s, d: sketches.exact_distinct(views.stream(s, d, BATCH)),
+    "reservoir_sample": lambda s, d: sketches.reservoir(views.stream(s, d, BATCH), 100, SLOTS),
+    "window_distinct": lambda s, d: sketches.window_distinct(parquet(s, d, "events")),
+    "graph_edges": edges,
+    "graph_vertices": lambda s, d: graph.vertices(edges(s, d)),
+    "connected_components": lambda s, d: graph.connected_components(edges(s, d)),
+    "label_propagation": lambda s, d: graph.label_propagation(edges(s, d)),
+    "communities": lambda s, d: graph.communities(graph.connected_components(edges(s, d)), "component"),
+    "edge_betweenness": lambda s, d: rounded(graph.betweenness(edges(s, d)), "betweenness"),
+    "modularity": lambda s, d: rounded(graph.modularity(e := edges(s, d), graph.connected_components(e)), "modularity"),
+    "gn_communities": lambda s, d: graph.communities(graph.divided(edges(s, d)), "component"),
+    "cluster_summary": lambda s, d: rounded(cluster.by_dimension(views.points(s, d), "label"), "sum", "sumsq", "mean", "dev", places=4),
+    "point_mahalanobis": lambda s, d: rounded(cluster.nearest(p := views.points(s, d), cluster.summaries(p, "label")), "distance", places=4),
+    "cluster_mahalanobis": lambda s, d: rounded(cluster.cluster_distances(cluster.summaries(views.points(s, d), "label")), "distance", places=4),
+    "ds_cs_rs_assign": lambda s, d: cluster.assign(*halves(s, d), factor=1.0),
+    "bfr_rounds": lambda s, d: cluster.bfr(views.points(s, d), 10)[0],
+    "bfr_clusters": lambda s, d: cluster.bfr(views.points(s, d), 10)[1],
+}
