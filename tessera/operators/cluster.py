@@ -15,7 +15,7 @@ from ..functions.storage import stored
 
 def by_dimension(points: DataFrame, cluster: str) -> DataFrame:
     """(cluster, dim, n, sum, sumsq, mean, dev): one aggregate; ``cluster`` names the label column."""
-    each = points.select(F.col(cluster).alias("cluster"), F.posexplode("f").alias("dim", "x"))
+    each = points.select(F.col(cluster).alias("cluster"), F.posexplode("f").alias("dim", "x")).withColumn("dim", F.col("dim").cast("long"))
     out = each.groupBy("cluster", "dim").agg(F.count("*").alias("n"), F.sum("x").alias("sum"), F.sum(F.col("x") * F.col("x")).alias("sumsq"))
     mean = F.col("sum") / F.col("n")
     return out.withColumn("mean", mean).withColumn("dev", F.sqrt(F.greatest(F.lit(0.0), F.col("sumsq") / F.col("n") - mean * mean)))
@@ -52,13 +52,13 @@ def cluster_distances(clusters: DataFrame) -> DataFrame:
 
 def assign(points: DataFrame, ds: DataFrame, cs: DataFrame, factor: float = 2.0) -> DataFrame:
     """(idx, kind, cluster): DS if the nearest discard cluster is within factor x sqrt(d), else CS by
-    the same test, else RS (cluster null). Statistics stand still within a round."""
+    the same test, else RS (cluster -1). Statistics stand still within a round."""
     limit = F.lit(factor) * F.sqrt(F.size("f").cast("double"))
     near = lambda clusters, p: nearest(points, clusters).select("idx", F.col("cluster").alias(p), F.col("distance").alias(p + "_at"))
     out = points.join(near(ds, "d"), "idx", "left").join(near(cs, "c"), "idx", "left")
     d, c = F.col("d_at") < limit, F.col("c_at") < limit
     kind = F.when(d, "DS").when(c, "CS").otherwise("RS")
-    return out.select("idx", kind.alias("kind"), F.when(d, F.col("d")).when(c, F.col("c")).alias("cluster"))
+    return out.select("idx", kind.alias("kind"), F.when(d, F.col("d")).when(c, F.col("c")).otherwise(F.lit(-1)).alias("cluster"))
 
 
 class _Summary:

@@ -210,5 +210,5 @@ SELECT round((within - kk / (2 * m)) / (2 * m), 6) AS modularity FROM w, m, q"""
     "ds_cs_rs_assign": f"""WITH {NEAR}, d AS (SELECT * FROM md WHERE cluster < 5 QUALIFY row_number() OVER (PARTITION BY idx ORDER BY distance, cluster) = 1),
 c AS (SELECT * FROM md WHERE cluster >= 5 QUALIFY row_number() OVER (PARTITION BY idx ORDER BY distance, cluster) = 1)
 SELECT vec_id AS idx, CASE WHEN d.distance < sqrt(64) THEN 'DS' WHEN c.distance < sqrt(64) THEN 'CS' ELSE 'RS' END AS kind,
-  CASE WHEN d.distance < sqrt(64) THEN d.cluster WHEN c.distance < sqrt(64) THEN c.cluster END AS cluster FROM embeddings LEFT JOIN d ON d.idx = vec_id LEFT JOIN c ON c.idx = vec_id""",
+  CASE WHEN d.distance < sqrt(64) THEN d.cluster WHEN c.distance < sqrt(64) THEN c.cluster ELSE -1 END AS cluster FROM embeddings LEFT JOIN d ON d.idx = vec_id LEFT JOIN c ON c.idx = vec_id""",
 }
