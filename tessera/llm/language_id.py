@@ -83,7 +83,7 @@ class LanguageModel:
         self.tables, self.bits = [], []
         for lang in self.langs:
             own = automaton(texts[lang][:TRAIN_BYTES])
-            out = np.full((len(own), 2 + len(seen)), FAIL, np.uint16)
+            out = np.full((len(own) + 1, 2 + len(seen)), FAIL, np.uint16)  # the last row: no phrase is open
             out[:, PAD] = 0
             for s, edges in enumerate(own):
                 for c, to in edges.items():
@@ -109,8 +109,9 @@ class LanguageModel:
         codes = self.code[data]
         live = np.searchsorted(-size, -np.arange(SEGMENT), "left")
         for j, flat in enumerate(self.tables):
-            state, fails = np.zeros(total, np.int32), np.ones(total, np.int32)
-            root = flat[: self.width]
+            closed = len(flat) // self.width - 1
+            state, fails = np.full(total, closed, np.int32), np.zeros(total, np.int32)
+            root = np.where(flat[: self.width] == FAIL, closed, flat[: self.width])
             for i in range(SEGMENT):
                 n = live[i]
                 if not n:
@@ -119,9 +120,7 @@ class LanguageModel:
                 to = flat[state[:n] * np.int32(self.width) + c]
                 bad = to == FAIL
                 fails[:n] += bad
-                again = root[c]
-                again[again == FAIL] = 0
-                state[:n] = np.where(bad, again, to)
+                state[:n] = np.where(bad, root[c], to)
             out[:, j] = np.bincount(owner, fails, len(lengths)).astype(np.int64)
         return out
 
