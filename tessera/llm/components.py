@@ -30,3 +30,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("node", "component")
         if not new.where("component < was").limit(1).count():
             return labels
+
+
+def merged(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """``comps`` (node, component) after further edges ``more`` (a, b), by the components they join."""
+    if not more.limit(1).count():
+        return comps
+    at = lambda end: comps.select(F.col("node").alias(end), F.col("component").alias("c" + end))
+    ends = more.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    over = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    lone = over.select("node", F.col("node").alias("component")).join(comps.select("node"), "node", "left_anti")
+    every = comps.unionByName(lone).join(over.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left")
+    return stored(every.select("node", F.coalesce("new", "component").alias("component")), "merged")

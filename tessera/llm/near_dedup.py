@@ -10,10 +10,13 @@ Exact copies (equal shingle sets) are one class from the start. Classes that mee
 bucket are compared without forming all pairs of the bucket:
 
 1. every bucket picks one leader, the member that meets most others over all buckets, and each
-   member is compared exactly with it;
-2. components of the confirmed links; then members of one bucket that are still in different
-   components are compared exactly, but for those that the triangle inequality of the Jaccard
-   distance to the leader rules out.
+   member is compared exactly with the leader;
+2. components of the confirmed links; then members with one leader that are still in different
+   components are compared exactly where they can be linked at all. With c the shingles that a
+   member shares with the leader, two members share at most min(c) of the leader's shingles. If that
+   falls short of what their sizes ask for, they must also share a shingle outside the leader's set,
+   so they meet by the (prefix of the) shingles outside it; else both sizes lie in a narrow range, so
+   they meet by size.
 
 So every candidate pair of the banding is confirmed, ruled out by a bound, or inside one component.
 """
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER, U64, mix, raw, steps, stored, stream, table, windows, word_hashes, words
-from .components import components
+from .components import components, merged
 
 #: 40 bands of 5: a pair at similarity 0.8 shares no bucket with probability 1.3e-7.
 BANDS, ROWS = 40, 5
@@ -124,14 +127,62 @@ def _sets(n: int):
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with the exact ``inter`` and ``uni`` sizes on full sets, and ``linked``."""
+    """``pairs`` (a, b) compared on full sets: ``c`` shared shingles, sizes ``n``, ``m`` and ``linked``.
+
+    Where an id has several sets the bounds are the loosest, and one linked pair of sets is enough.
+    """
     pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
     pairs = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-    inter = F.size(F.array_intersect("ga", "gb")).cast("long")
-    out = pairs.select("a", "b", inter.alias("inter"), (F.size("ga") + F.size("gb")).cast("long").alias("sum"))
-    out = out.groupBy("a", "b").agg(F.max_by(F.struct("inter", "sum"), F.col("inter") / F.col("sum")).alias("best"))
-    out = out.select("a", "b", F.col("best.inter").alias("inter"), (F.col("best.sum") - F.col("best.inter")).alias("uni"))
-    return out.withColumn("linked", F.col("inter") * 100 >= F.col("uni") * percent)
+    out = pairs.select("a", "b", F.size("ga").alias("n"), F.size("gb").alias("m"), F.size(F.array_intersect("ga", "gb")).alias("c"))
+    linked = (F.col("c").cast("long") * 100 >= (F.col("n") + F.col("m") - F.col("c")).cast("long") * percent).cast("int")
+    return out.groupBy("a", "b").agg(F.max("c").alias("c"), F.min("n").alias("n"), F.max(linked).alias("linked"))
+
+
+def _faced(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of a left and a right row with equal keys in different components; no pair inside
+    a component is formed. Left rows are outside their leader's component."""
+    x = left.select(*keys, F.col("comp").alias("cx"), "home").distinct()
+    y = right.select(*keys, F.col("comp").alias("cy")).distinct()
+    facing = x.join(y, keys).where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("home")) | (F.col("cx") < F.col("cy")))).drop("home")
+    own = lambda t, z: t.select(*keys, F.col("comp").alias("c" + z), F.col("id").alias("i" + z), F.col("n").alias("n" + z), F.col("c").alias("s" + z))
+    return facing.join(own(left, "x"), [*keys, "cx"]).join(own(right, "y"), [*keys, "cy"])
+
+
+def _rest(compared: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that step 2 has to compare."""
+    named = comps.select(F.col("node").alias("id"), "component")
+    homes = comps.select(F.col("node").alias("leader"), F.col("component").alias("home"))
+    all_ = compared.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.col("n").cast("long").alias("n"), F.col("c").cast("long").alias("c"))
+    all_ = all_.join(named, "id", "left").join(homes, "leader", "left")
+    all_ = all_.select("leader", "id", "n", "c", F.coalesce("component", "id").alias("comp"), F.coalesce("home", "leader").alias("home"))
+    mixed = all_.groupBy("leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("leader")
+    all_ = stored(all_.join(mixed, "leader", "left_semi"), "mixed")
+    minor = F.col("comp") != F.col("home")
+    p, q = F.lit(percent), F.lit(100 + percent)
+
+    # by shingles outside the leader's set: each needs at least t n - c of them
+    need = F.greatest(F.lit(1), F.ceil((p * F.col("n") - 100 * F.col("c")) / 100))
+    outside = F.array_except("ga", "gb")
+    both = all_.join(sets.select("id", F.col("grams").alias("ga")), "id").join(sets.select(F.col("id").alias("leader"), F.col("grams").alias("gb")), "leader")
+    both = both.select("leader", "id", "n", "c", "comp", "home", outside.alias("o"), need.alias("need"))
+    prefix = F.slice("o", F.lit(1), F.greatest(F.lit(0), F.size("o") - F.col("need") + 1).cast("int"))
+    spread = both.select("leader", "id", "n", "c", "comp", "home", F.explode(prefix).alias("el")).distinct()
+    shared = spread.groupBy("leader", "el").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("leader", "el")
+    spread = stored(spread.join(shared, ["leader", "el"], "left_semi"), "outside")
+    first = _faced(spread.where(minor), spread, ["leader", "el"])
+
+    # by size: both share so much with the leader that nothing outside is needed
+    low, high = F.ceil(p * F.col("n") / 100), F.least(F.floor(100 * F.col("n") / p), F.floor(q * F.col("c") / p) - F.col("n"))
+    sized = all_.where(minor & (low <= high)).withColumn("size", F.explode(F.sequence(low, high)))
+    second = _faced(sized, all_.withColumn("size", F.col("n")), ["leader", "size"])
+    second = second.where(q * F.least("sx", "sy") >= p * (F.col("nx") + F.col("ny")))
+
+    most = F.least("sx", "sy") + F.least(F.col("nx") - F.col("sx"), F.col("ny") - F.col("sy"))
+    fits = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * p) & (q * most >= p * (F.col("nx") + F.col("ny")))
+    cols = (F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b"))
+    found = first.where(fits).select(*cols).union(second.where(fits).select(*cols)).distinct()
+    known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.join(known, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -152,50 +203,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     classes = stored(own.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "classes")
 
     # members of buckets that hold two classes or more
-    spread = classes.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    spread = classes.select("id", F.explode("keys").alias("key"))
     met = spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = stored(spread.join(met, "key"), "members")
     weight = members.groupBy("id").agg(F.sum("c").alias("weight"))
-    best = F.max_by(F.struct("id", "n"), F.struct("weight", -F.col("id"))).alias("lead")
-    leaders = stored(members.join(weight, "id").groupBy("key").agg(best).select("key", F.col("lead.id").alias("leader"), F.col("lead.n").alias("ln")), "leaders")
-    members = stored(members.select("key", "id", "n").join(leaders, "key"), "led")
+    # the heaviest member leads, the smallest id of those; both maxima are plain numbers
+    ranked = members.join(weight, "id")
+    top = ranked.groupBy("key").agg(F.max("weight").alias("weight"))
+    leaders = ranked.join(top, ["key", "weight"]).groupBy("key").agg(F.min("id").alias("leader"))
+    star = members.select("key", "id").join(leaders, "key").where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    star = stored(star, "star")
 
     needed = members.select("id").distinct()
     texts = docs.join(needed, docs.doc_id == needed.id, "left_semi").dropDuplicates(["doc_id", "text"])
     sets = stored(texts.mapInArrow(_sets(shingle_words), "id long, grams array<long>"), "sets")
-
-    close = F.least("n", "ln") * 100 >= F.greatest("n", "ln") * percent
-    star = members.where(close & (F.col("id") != F.col("leader"))).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     compared = stored(_compared(star, sets, percent), "compared")
-    links = compared.where("linked").select("a", "b")
-    comps = components(links)
-
-    # bounds of the distance to the leader, for pairs that are still apart
-    seen = compared.select(F.col("a").alias("id"), F.col("b").alias("leader"), (1 - F.col("inter") / F.col("uni")).alias("exact"))
-    far = 1 - F.least("n", "ln") / F.greatest("n", "ln")
-    apart = members.join(seen, ["id", "leader"], "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    apart = apart.select(
-        "key", "id", "n", F.coalesce("component", "id").alias("comp"),
-        F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.coalesce("exact", far)).alias("low"),
-        F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.coalesce("exact", F.lit(1.0))).alias("high"),
-    )
-    mixed = apart.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-    apart = stored(apart.join(mixed, "key", "left_semi"), "apart")
-    groups = apart.groupBy("key", "comp").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    most = 1 - percent / 100 + 1e-9
-    x, y = groups.alias("x"), groups.alias("y")
-    reach = (F.col("x.low") <= F.col("y.high") + most) & (F.col("y.low") <= F.col("x.high") + most)
-    facing = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & reach)
-    facing = facing.select(F.col("x.key").alias("key"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
-    left = apart.select("key", F.col("comp").alias("ca"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    right = apart.select("key", F.col("comp").alias("cb"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("la") <= F.col("hb") + most) & (F.col("lb") <= F.col("ha") + most)
-    rest = facing.join(left, ["key", "ca"]).join(right, ["key", "cb"]).where(fits)
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(_compared(rest.join(known, ["a", "b"], "left_anti"), sets, percent).where("linked").select("a", "b"), "more")
-    if more.limit(1).count():
-        comps = components(links.union(more))
+    comps = components(compared.where("linked = 1").select("a", "b"))
+    more = stored(_compared(_rest(compared, comps, sets, percent), sets, percent).where("linked = 1").select("a", "b"), "more")
+    comps = merged(comps, more)
 
     # class of each row; the smallest id of a class is its node
     named = classes.select("f1", "f2", "n_shingles", "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
