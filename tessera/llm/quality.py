@@ -54,7 +54,7 @@ def features(data: np.ndarray, offsets: np.ndarray, n_chars: list[int | None]) -
     key, times = np.unique(key, return_counts=True)
     owner, bucket = key // BUCKETS, key % BUCKETS
     stats.append(np.bincount(owner, minlength=n) / count)
-    stats.append(np.minimum(1, (ends - starts).sum() and np.bincount(doc, ends - starts, n) / count / 24))
+    stats.append(np.minimum(1, np.bincount(doc, ends - starts, n) / count / 24))
     newline = per_doc(data == 10, offsets) + 1
     stats.append(np.minimum(1, size / newline / 1024))
     stats.append(np.minimum(1, np.log2(count) / 16))
