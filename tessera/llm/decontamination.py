@@ -123,11 +123,14 @@ class Index:
                 n_hits += k - j
                 own = self.hashes[self.bounds[t] : self.bounds[t + 1]]
                 score, end = align(own, hashes[x:y])
-                best = max(best, (score / (MATCH * len(own)), -int(x - bounds[d]), int(x + end - bounds[d])))
+                best = max(best, (score / (MATCH * len(own)), -int(x), int(x + end)))
                 j = k
             if int(d) not in out or (best[0], -t) > (out[int(d)][0], -out[int(d)][1]):
                 out[int(d)] = (best[0], int(t), n_hits, -best[1], best[2])
             i = j
+        for d, (score, t, n_hits, x, y) in out.items():  # where it starts: the same from its end backwards
+            back = align(self.hashes[self.bounds[t] : self.bounds[t + 1]][::-1], hashes[x:y][::-1])[1]
+            out[d] = (score, t, n_hits, int(y - back - bounds[d]), int(y - bounds[d]))
         return out
 
 

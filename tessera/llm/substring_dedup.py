@@ -110,7 +110,7 @@ class Chunk:
 def packed(chunk: int, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
     """One row for each bucket with the raw bytes of its slice; ``bucket`` is ascending."""
     own, at = np.unique(bucket, return_index=True)
-    to = np.append(at[1:], len(bucket))
+    to = np.append(at[1:], len(bucket))[: len(at)]
     parts = {name: pa.array([v[a:b].tobytes() for a, b in zip(at, to, strict=True)], pa.binary()) for name, v in columns.items()}
     return pa.table({"__chunk": pa.array(np.full(len(own), chunk)), "bucket": pa.array(own.astype(np.int64)), **parts})
 
