@@ -177,21 +177,19 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _train(sent, round_: int):
+def _train(sent, round_: int, mask: int = MASK):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        net = sent.value
-        net = WindowNetwork(np.zeros(0, U64)).load(net.flat()), net
-        model, words_ = net
+        words_ = sent.value
+        model = WindowNetwork(np.zeros(0, U64)).load(words_.flat())
         sums = {k: np.full_like(v, 1e-4) for k, v in model.p.items()}
-        left: list[tuple[np.ndarray, np.ndarray]] = []
         done = 0
         for batch in batches:
             for _, texts in steps(batch, "text"):
                 hashes, shape, bounds = tokens(texts)
                 stream, at = model.padded(words_.numbers(hashes, shape), bounds)
-                pick = mix(hashes + np.arange(len(hashes), dtype=U64) * U64(0x9E37) + U64(round_)) % U64(MASK) == 0
+                pick = mix(hashes + np.arange(len(hashes), dtype=U64) * U64(0x9E37) + U64(round_)) % U64(mask) == 0
                 at = at[pick]
                 at = at[np.argsort(mix(at.astype(U64) + U64(round_)), kind="stable")]
                 for i in range(0, len(at), BATCH):
@@ -210,15 +208,16 @@ def _sum(t: pa.Table) -> pa.Table:
     return pa.table({"part": t.column("part")[:1], "pid": t.column("pid")[:1], "weight": pa.array([float(np.sum(t.column("weight").to_numpy()))]), "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> WindowNetwork:
-    """Train on all of ``docs`` (text). The driver receives the frequent words and one sum of weights."""
+def fit(docs: DataFrame, rounds: int = ROUNDS, mask: int = MASK) -> WindowNetwork:
+    """Train on all of ``docs`` (text), one of ``mask`` positions a round. The driver receives the
+    frequent words and one sum of weights a round. Without words the initial weights remain."""
     spark = docs.sparkSession
     counts = stored(vocabulary(docs), "words")
     top = counts.orderBy(F.desc("n"), "h").limit(NUMBERS - SHAPES).collect()
     net = WindowNetwork(np.array([r.h for r in top], np.int64).view(U64))
     schema = "part long, pid long, weight double, v array<double>"
     for r in range(rounds):
-        own = docs.select("text").mapInArrow(_train(spark.sparkContext.broadcast(net), r), schema)
+        own = docs.select("text").mapInArrow(_train(spark.sparkContext.broadcast(net), r, mask), schema)
         left = docs.rdd.getNumPartitions()
         while True:  # sums of FAN at a time
             own = own.withColumn("pid", F.floor(F.col("pid") / FAN).cast("long")).groupBy("part", "pid").applyInArrow(_sum, schema)

@@ -60,7 +60,7 @@ def test_order_matters_and_rows_are_whole(spark):
     text = lambda: " ".join(words[(s + i) % 40] for s in [rng.randrange(40)] for i in range(60))
     rows = [(i, text()) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    net = lm.fit(docs, rounds=2)
+    net = lm.fit(docs, rounds=5, mask=1)
     good = text()
     bad = good.split()
     rng.shuffle(bad)
