@@ -1,8 +1 @@
 """Operators for large text corpora. Nothing else in the library imports this package."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions sent to executors travel by value, so a cluster needs no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

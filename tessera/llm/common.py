@@ -6,8 +6,6 @@ bytes inside a longer character, scanning bytes gives the same words as scanning
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,42 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored as stored
+
 U64 = np.uint64
 #: Text bytes that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
 
-# ---------------------------------------------------------------- run-scoped tables
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes share: ``spark.checkpoint.dir`` of the session.
-
-    Only where a session has none (tests, notebooks) a local folder stands in.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark, "_tessera_dir", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-            spark._tessera_dir = found
-    return found
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts lineage and survives lost executors. The folder goes when the session ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
