@@ -6,10 +6,12 @@ bytes inside a longer character, scanning bytes gives the same words as scanning
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,22 @@ U64 = np.uint64
 STEP_BYTES = 1 << 20
 
 
+class Sent:
+    """A broadcast object whose class travels with it, so executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, thing: object):
+        self.bytes, self.held = spark.sparkContext.broadcast(cloudpickle.dumps(thing)), None
+
+    def __getstate__(self) -> dict:
+        return {"bytes": self.bytes, "held": None}
+
+    @property
+    def value(self):
+        if self.held is None:
+            self.held = pickle.loads(self.bytes.value)
+        return self.held
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

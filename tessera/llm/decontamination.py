@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw, steps, strings, table, windows, word_hashes, words
+from .common import Sent, raw, steps, strings, table, windows, word_hashes, words
 
 #: Words of a seed, the chance below which an n-gram is rare, and the bytes of items in a block.
 SEED_WORDS, RARE, BLOCK_BYTES = 3, 1e-8, 8 << 20
@@ -190,7 +190,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, blo
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).distinct().collect()
         index = Index(sorted((r.item_id, r.text) for r in part))
         index.choose(*word_counts(plain, index.words))
-        docs = docs.mapInArrow(_pass(spark.sparkContext.broadcast(index), own.names), schema)
+        docs = docs.mapInArrow(_pass(Sent(spark, index), own.names), schema)
     return docs.withColumn("contaminated", F.col("score") >= leak)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import steps, table
+from .common import Sent, steps, table
 
 # Fixed values of the HTML format.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -383,7 +383,7 @@ def extract(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
     Null or empty html, and pages without an article, give an empty text. Columns named text or
     n_chars are replaced. Row by row, whole pages, no shuffle.
     """
-    sent = pages.sparkSession.sparkContext.broadcast(chain or trained())
+    sent = Sent(pages.sparkSession, chain or trained())
     pages = pages.drop("text", "n_chars")
     names = pages.columns
 

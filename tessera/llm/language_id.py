@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, raw, steps, strings, table
+from .common import Sent, crc_mod, raw, steps, strings, table
 
 #: Training bytes of a language (its automaton has less than twice as many states, so 16 bits hold
 #: a state), the documents they come from at most, and the characters taken from each.
@@ -166,7 +166,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     Null text or text without a letter: ``und`` and 0; so are all rows if nothing was learned. A tie
     goes to the language first in order. Columns of these two names are replaced. No shuffle.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, mix, raw, steps, stored, table, word_hashes, words
+from .common import LOWER, U64, Sent, mix, raw, steps, stored, table, word_hashes, words
 
 #: Classes x words of a class = numbers; the last SHAPES of them are for all rarer words.
 CLASSES, EACH, SHAPES = 32, 32, 64
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, mask: int = MASK) -> WindowNetwor
     net = WindowNetwork(np.array([r.h for r in top], np.int64).view(U64))
     schema = "part long, pid long, weight double, v array<double>"
     for r in range(rounds):
-        own = docs.select("text").mapInArrow(_train(spark.sparkContext.broadcast(net), r, mask), schema)
+        own = docs.select("text").mapInArrow(_train(Sent(spark, net), r, mask), schema)
         left = docs.rdd.getNumPartitions()
         while True:  # sums of FAN at a time
             own = own.withColumn("pid", F.floor(F.col("pid") / FAN).cast("long")).groupBy("part", "pid").applyInArrow(_sum, schema)
@@ -238,7 +238,7 @@ def score(docs: DataFrame, net: WindowNetwork) -> DataFrame:
     Null and blank texts have no tokens: log_prob 0, perplexity null. Columns of these names are
     replaced. Row by row, whole texts, no shuffle.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+    sent = Sent(docs.sparkSession, net)
     docs = docs.drop("n_tokens", "log_prob", "perplexity")
     names = docs.columns
 

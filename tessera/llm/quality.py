@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, crc_mod, raw, steps, table, word_hashes, words
+from .common import LOWER, U64, Sent, crc_mod, raw, steps, table, word_hashes, words
 
 #: Word buckets, rank of the interactions, and the labelled rows that training takes at most.
 BUCKETS, FACTORS, TRAIN_ROWS = 1 << 15, 8, 6000
@@ -164,7 +164,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
     Null text is scored as empty text, null n_chars has a bin of its own. Columns named score or
     predicted are replaced. Row by row, no shuffle.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
     docs = docs.drop("score", "predicted").withColumn("n_chars", F.col("n_chars").cast("long"))
     names = docs.columns
 
