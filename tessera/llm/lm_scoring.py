@@ -5,14 +5,17 @@ embeddings, weighted by place, are summed and squashed, and a two-level softmax
 word's class and then the word. A document's score is the sum of the log-probabilities of all its
 words, each given both sides.
 
-Word counts are taken over the whole corpus; the most frequent words have a number each, the rest
-share numbers by shape. Training covers the whole corpus: every partition runs AdaGrad over masked
+Word counts are taken over the whole corpus; the most frequent words have a number each, more of them
+the larger the corpus, and the rest share numbers by shape. The network gives the shape of such a
+word, the corpus counts give the word among those of its shape, by a join on the word. Training covers the whole corpus: every partition runs AdaGrad over masked
 positions of all its documents, and the partitions' weights are averaged, in rounds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,14 @@ from pyspark.sql import types as T
 
 from .common import LOWER, U64, Sent, mix, raw, steps, stored, table, word_hashes, words
 
-#: Classes x words of a class = numbers; the last SHAPES of them are for all rarer words.
+#: Classes x words of a class = numbers, at least; the last SHAPES of them are for all rarer words.
 CLASSES, EACH, SHAPES = 32, 32, 64
+#: Words with a number of their own: GROWTH times the cube root of the corpus's words, if that is more.
+GROWTH = 8
+#: Counts of about so many further words travel with the network; those of the rest are joined.
+HELD = 1 << 18
+#: What a word's count among those of its shape is raised by; an unseen word has this alone.
+UNSEEN = 0.1
 WINDOW, SIZE = 3, 24
 #: Rounds of averaging, and one of how many positions a round masks.
 ROUNDS, MASK = 2, 20
@@ -50,33 +59,44 @@ def tokens(texts: pa.Array):
 
 
 class WindowNetwork:
-    """The network's weights; ``vocabulary`` has the hashes of the frequent words, most frequent first."""
+    """The network's weights; ``vocabulary`` has the hashes of the frequent words, most frequent first.
+
+    ``held`` has the hashes of the next words in ascending order and ``held_n`` their counts, ``rest``
+    is the table (h, n) of all other words of the corpus, and ``mass`` has, by shape, the counts of held
+    and other words together, each raised by UNSEEN, and that of one unseen word.
+    """
 
     def __init__(self, vocabulary: np.ndarray):
+        self.held, self.held_n, self.mass = np.zeros(0, U64), np.zeros(0, np.int64), np.full(SHAPES, UNSEEN)
+        self.rest: DataFrame | None = None
+        self.classes = self.each = max(CLASSES, math.isqrt(len(vocabulary) + SHAPES - 1) + 1)
+        self.count = self.classes * self.each
         order = np.argsort(vocabulary, kind="stable")
         self.known, self.rank = vocabulary[order], order.astype(np.int32)
         rng = np.random.default_rng(1)
         init = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         self.p = {
-            "embed": init(NUMBERS + 1, SIZE), "place": np.ones((2 * WINDOW, SIZE), np.float32) / WINDOW, "bias": np.zeros(SIZE, np.float32),
-            "class": init(CLASSES, SIZE), "class_bias": np.zeros(CLASSES, np.float32), "word": init(CLASSES, EACH, SIZE), "word_bias": np.zeros((CLASSES, EACH), np.float32),
+            "embed": init(self.count + 1, SIZE), "place": np.ones((2 * WINDOW, SIZE), np.float32) / WINDOW, "bias": np.zeros(SIZE, np.float32),
+            "class": init(self.classes, SIZE), "class_bias": np.zeros(self.classes, np.float32), "word": init(self.classes, self.each, SIZE), "word_bias": np.zeros((self.classes, self.each), np.float32),
         }
-        self.p["embed"][NUMBERS] = 0  # outside the document
+        self.p["embed"][self.count] = 0  # outside the document
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rest": None}
 
     def numbers(self, hashes: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        out = (NUMBERS - SHAPES + shape).astype(np.int32)
+        out = (self.count - SHAPES + shape).astype(np.int32)
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
             hit = self.known[at] == hashes
             out[hit] = self.rank[at[hit]]
         return out
 
-    @staticmethod
-    def padded(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def padded(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers with WINDOW blanks between documents, and the place of each word in them."""
         doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         at = np.arange(len(ids)) + WINDOW * (doc + 1)
-        out = np.full(len(ids) + WINDOW * len(bounds), NUMBERS, np.int32)
+        out = np.full(len(ids) + WINDOW * len(bounds), self.count, np.int32)
         out[at] = ids
         return out, at
 
@@ -86,6 +106,14 @@ class WindowNetwork:
             h += (self.p["embed"] * self.p["place"][j])[stream[at + o]]
         return np.tanh(h)
 
+    def counts(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The held counts of words, 0 for others, and which are held."""
+        if not len(self.held):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.held, hashes), len(self.held) - 1)
+        hit = self.held[at] == hashes
+        return np.where(hit, self.held_n[at], 0), hit
+
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -97,20 +125,20 @@ class WindowNetwork:
         for i in range(0, len(at), 1 << 16):
             own = at[i : i + (1 << 16)]
             ids = stream[own]
-            order = np.argsort(ids // EACH, kind="stable")
+            order = np.argsort(ids // self.each, kind="stable")
             own, ids = own[order], ids[order]
             h = self.hidden(stream, own)
-            cls = ids // EACH
+            cls = ids // self.each
             z = h @ self.p["class"].T + self.p["class_bias"]
             top = z.max(axis=1)
             lp = z[np.arange(len(own)), cls] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
-            cut = np.searchsorted(cls, np.arange(CLASSES + 1))
-            for c in range(CLASSES):
+            cut = np.searchsorted(cls, np.arange(self.classes + 1))
+            for c in range(self.classes):
                 a, b = cut[c], cut[c + 1]
                 if a < b:
                     z = h[a:b] @ self.p["word"][c].T + self.p["word_bias"][c]
                     top = z.max(axis=1)
-                    lp[a:b] += z[np.arange(b - a), ids[a:b] % EACH] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+                    lp[a:b] += z[np.arange(b - a), ids[a:b] % self.each] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
             part = np.empty(len(own))
             part[order] = lp
             out[i : i + len(own)] = part
@@ -120,16 +148,16 @@ class WindowNetwork:
         """One AdaGrad step on the words at the given places."""
         p, n = self.p, len(at)
         ids = stream[at]
-        order = np.argsort(ids // EACH, kind="stable")
+        order = np.argsort(ids // self.each, kind="stable")
         at, ids = at[order], ids[order]
-        cls, word = ids // EACH, ids % EACH
+        cls, word = ids // self.each, ids % self.each
         h = self.hidden(stream, at)
         zc = self._softmax(h @ p["class"].T + p["class_bias"])
         zc[np.arange(n), cls] -= 1
         grad = {"class": zc.T @ h, "class_bias": zc.sum(axis=0), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
         dh = zc @ p["class"]
-        cut = np.searchsorted(cls, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        cut = np.searchsorted(cls, np.arange(self.classes + 1))
+        for c in range(self.classes):
             a, b = cut[c], cut[c + 1]
             if a < b:
                 z = self._softmax(h[a:b] @ p["word"][c].T + p["word_bias"][c])
@@ -147,7 +175,7 @@ class WindowNetwork:
         heads = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         grad["embed"] = np.zeros_like(p["embed"])
         grad["embed"][flat[heads]] = np.add.reduceat(rows[order], heads, axis=0)
-        grad["embed"][NUMBERS] = 0
+        grad["embed"][self.count] = 0
         for k, g in grad.items():
             g = g / np.float32(n)
             sums[k] += g * g
@@ -156,6 +184,11 @@ class WindowNetwork:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].reshape(-1) for k in sorted(self.p)])
 
+    def copy(self) -> WindowNetwork:
+        out = copy(self)
+        out.p = {k: v.copy() for k, v in self.p.items()}
+        return out
+
     def load(self, flat: np.ndarray) -> WindowNetwork:
         at = 0
         for k in sorted(self.p):
@@ -166,15 +199,40 @@ class WindowNetwork:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """(h, n): every distinct word of the corpus by its hash, and how often it occurs."""
+    """(h, shape, n): every distinct word of the corpus by its hash, and how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in steps(batch, "text", 8 << 20):
-                h, n = np.unique(tokens(texts)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
-
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+                hashes, shape, _ = tokens(texts)
+                h, at, n = np.unique(hashes, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(shape[at].astype(np.int32)), pa.array(n)], ["h", "shape", "n"])
+
+    return docs.select("text").mapInArrow(run, "h long, shape int, n long").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
+
+
+def _numbered(counts: DataFrame) -> WindowNetwork:
+    """A network without training for the words of ``counts``."""
+    total = counts.agg(F.sum("n")).head()[0] or 0
+    own = max(NUMBERS - SHAPES, int(GROWTH * total ** (1 / 3)))
+    least, words_ = 1 << 62, 0  # words that occur as often as that are collected; words of equal count go together
+    for n, k in sorted(((r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True):
+        words_ += k
+        if words_ > own + HELD:
+            break
+        least = n
+    top = counts.where(F.col("n") >= least).select("h", "shape", "n").toArrow()
+    h, shape, n = (np.asarray(top.column(c).to_numpy()) for c in ("h", "shape", "n"))
+    order = np.lexsort((h, -n))
+    net = WindowNetwork(h[order[:own]].view(U64))
+    order = order[own:]
+    np.add.at(net.mass, shape[order], n[order] + UNSEEN)
+    order = order[np.argsort(h[order].view(U64), kind="stable")]
+    net.held, net.held_n = h[order].view(U64), n[order]
+    net.rest = counts.where(F.col("n") < least).select("h", "n")
+    for r in counts.where(F.col("n") < least).groupBy("shape").agg((F.sum("n") + UNSEEN * F.count("*")).alias("mass")).collect():
+        net.mass[r["shape"]] += r["mass"]
+    return net
 
 
 def _train(sent, round_: int, mask: int = MASK):
@@ -182,7 +240,7 @@ def _train(sent, round_: int, mask: int = MASK):
         from pyspark import TaskContext
 
         words_ = sent.value
-        model = WindowNetwork(np.zeros(0, U64)).load(words_.flat())
+        model = words_.copy()
         sums = {k: np.full_like(v, 1e-4) for k, v in model.p.items()}
         done = 0
         for batch in batches:
@@ -213,8 +271,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, mask: int = MASK) -> WindowNetwor
     frequent words and one sum of weights a round. Without words the initial weights remain."""
     spark = docs.sparkSession
     counts = stored(vocabulary(docs), "words")
-    top = counts.orderBy(F.desc("n"), "h").limit(NUMBERS - SHAPES).collect()
-    net = WindowNetwork(np.array([r.h for r in top], np.int64).view(U64))
+    net = _numbered(counts)
     schema = "part long, pid long, weight double, v array<double>"
     for r in range(rounds):
         own = docs.select("text").mapInArrow(_train(Sent(spark, net), r, mask), schema)
@@ -226,8 +283,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, mask: int = MASK) -> WindowNetwor
                 break
         rows = sorted(own.collect(), key=lambda x: x.part)
         if rows:
-            flat = np.concatenate([np.array(x.v) / x.weight for x in rows])
-            net = WindowNetwork(net.known[np.argsort(net.rank)]).load(flat)
+            net = net.load(np.concatenate([np.array(x.v) / x.weight for x in rows]))
     return net
 
 
@@ -235,25 +291,46 @@ def score(docs: DataFrame, net: WindowNetwork) -> DataFrame:
     """``docs`` (text, any columns) with ``n_tokens``, ``log_prob`` (sum over all words) and
     ``perplexity``.
 
+    A word without a number of its own has the log-probability of its shape and of the word in that:
+    its count plus UNSEEN, of ``net.mass``. Counts that the network does not hold are joined.
+
     Null and blank texts have no tokens: log_prob 0, perplexity null. Columns of these names are
-    replaced. Row by row, whole texts, no shuffle.
+    replaced. The network runs row by row over whole texts.
     """
     sent = Sent(docs.sparkSession, net)
     docs = docs.drop("n_tokens", "log_prob", "perplexity")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         net = sent.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part, texts in steps(batch, "text"):
                 hashes, shape, bounds = tokens(texts)
-                lp = np.concatenate([[0.0], np.cumsum(net.log_probs(*net.padded(net.numbers(hashes, shape), bounds)))])
-                total, n = lp[bounds[1:]] - lp[bounds[:-1]], np.diff(bounds)
-                own = [pa.array(n.astype(np.int64)), pa.array(total), pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *own], [*names, "n_tokens", "log_prob", "perplexity"])
-
-    own = [T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("perplexity", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields + own))
+                ids = net.numbers(hashes, shape)
+                lp = net.log_probs(*net.padded(ids, bounds))
+                rare = np.flatnonzero(ids >= net.count - SHAPES)
+                n, held = net.counts(hashes[rare])
+                lp[rare] += np.log(n + UNSEEN) - np.log(net.mass)[shape[rare]]
+                rare = rare[~held]
+                lp = np.concatenate([[0.0], np.cumsum(lp)])
+                ends = np.searchsorted(rare, bounds)
+                rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[rare].view(np.int64)))
+                own = [pa.array(np.diff(bounds).astype(np.int64)), pa.array(lp[bounds[1:]] - lp[bounds[:-1]]), pa.array(row + np.arange(part.num_rows)), rest]
+                row += part.num_rows
+                yield pa.RecordBatch.from_arrays([*part.columns, *own], [*names, "n_tokens", "log_prob", "_row", "_rest"])
+
+    own = T.StructType.fromDDL("n_tokens long, log_prob double, _row long, _rest array<long>")
+    out = stored(docs.mapInArrow(run, T.StructType(docs.schema.fields + own.fields)), "scored")
+    if net.rest is not None:
+        seen = F.log(F.col("n") + UNSEEN) - math.log(UNSEEN)
+        rest = out.select("_row", F.explode("_rest").alias("h")).join(net.rest, "h")
+        rest = rest.groupBy("_row").agg(F.sum(seen).alias("_seen"))
+        out = out.drop("_rest").join(rest, "_row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("_seen", F.lit(0.0)))
+    perplexity = F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / F.col("n_tokens")))
+    return out.select(*names, "n_tokens", "log_prob", perplexity.alias("perplexity"))
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tessera.llm import lm_scoring as lm
 from tessera.llm.common import strings
@@ -76,3 +77,31 @@ def test_order_matters_and_rows_are_whole(spark):
 def test_vocabulary_counts_everything(spark):
     docs = spark.createDataFrame([("a B b",), ("b",), (None,)], "text string")
     assert sorted(r.n for r in lm.vocabulary(docs).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("held", [lm.HELD, 1])  # counts that travel with the network, and counts that are joined
+def test_rare_words_have_their_own_probability(spark, monkeypatch, held):
+    monkeypatch.setattr(lm, "HELD", held)
+    common = " ".join(f"c{i}" for i in range(lm.NUMBERS - lm.SHAPES))
+    texts = [common] * 3 + ["rareword " * 2 + "oddity"]
+    net = lm.fit(spark.createDataFrame([(t,) for t in texts], "text string"), rounds=1)
+    assert len(net.held) == (2 if held > 1 else 1)
+    got = {r.text: r.log_prob for r in lm.score(spark.createDataFrame([("rareword",), ("oddity",), ("unseenword",), ("c1",)], "text string"), net).collect()}
+    counts = {"rareword": 2, "oddity": 1, "unseenword": 0}
+    _, shape, _ = lm.tokens(strings(pa.array(list(counts))))
+    for (w, n), s in zip(counts.items(), shape, strict=True):
+        h, own, bounds = lm.tokens(strings(pa.array([w])))
+        head = net.log_probs(*net.padded(net.numbers(h, own), bounds))[0]
+        of = [k for k, t in zip(("rareword", "oddity"), shape, strict=False) if t == s]
+        mass = sum(counts[k] + lm.UNSEEN for k in of) + lm.UNSEEN
+        assert abs(got[w] - head - np.log((n + lm.UNSEEN) / mass)) < 1e-6
+    h, own, bounds = lm.tokens(strings(pa.array(["c1"])))
+    assert abs(got["c1"] - net.log_probs(*net.padded(net.numbers(h, own), bounds))[0]) < 1e-6
+
+
+def test_numbers_grow_with_the_corpus(spark):
+    for each, own in ((1, 960), (2000, 1600)):  # 4,000 words, once and 2,000 times: 8 * 8e6 ** (1 / 3)
+        counts = spark.range(4000).selectExpr("id as h", "0 as shape", f"{each}L as n")
+        net = lm._numbered(counts)
+        assert abs(len(net.known) - own) <= 1 and net.rest.count() + len(net.held) == 4000 - len(net.known)
+        assert net.count >= len(net.known) + lm.SHAPES and net.numbers(net.known, np.zeros(len(net.known), int)).max() < net.count - lm.SHAPES
