@@ -8,7 +8,8 @@ words, each given both sides.
 Word counts are taken over the whole corpus; the most frequent words have a number each, more of them
 the larger the corpus, and the rest share numbers by shape. The network gives the shape of such a
 word, the corpus counts give the word among those of its shape, by a join on the word. Training covers the whole corpus: every partition runs AdaGrad over masked
-positions of all its documents, and the partitions' weights are averaged, in rounds.
+positions of all its documents, and the partitions' weights are averaged, in rounds, which together
+mask every position.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ HELD = 1 << 18
 #: What a word's count among those of its shape is raised by; an unseen word has this alone.
 UNSEEN = 0.1
 WINDOW, SIZE = 3, 24
-#: Rounds of averaging, and one of how many positions a round masks.
-ROUNDS, MASK = 2, 20
+#: Rounds of averaging; each masks its share of the positions, all of them together every position.
+ROUNDS = 2
 BATCH, RATE = 1024, 0.15
 NUMBERS = CLASSES * EACH
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
@@ -173,9 +174,11 @@ class WindowNetwork:
         order = np.argsort(flat, kind="stable")
         flat = flat[order]
         heads = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        grad["embed"] = np.zeros_like(p["embed"])
-        grad["embed"][flat[heads]] = np.add.reduceat(rows[order], heads, axis=0)
-        grad["embed"][self.count] = 0
+        own = flat[heads]
+        g = np.add.reduceat(rows[order], heads, axis=0) / np.float32(n)
+        g[own == self.count] = 0
+        sums["embed"][own] += g * g
+        p["embed"][own] -= rate * g / np.sqrt(sums["embed"][own])  # the other rows have no gradient
         for k, g in grad.items():
             g = g / np.float32(n)
             sums[k] += g * g
@@ -235,7 +238,14 @@ def _numbered(counts: DataFrame) -> WindowNetwork:
     return net
 
 
-def _train(sent, round_: int, mask: int = MASK):
+def targets(hashes: np.ndarray, bounds: np.ndarray, round_: int, mask: int) -> np.ndarray:
+    """Which words a round masks, by the word and its place in the document: of any ``mask`` rounds
+    in a row, each word is masked in just one, however the documents are dealt to tasks and batches."""
+    place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
+    return mix(hashes + place.astype(U64) * U64(0x9E37)) % U64(mask) == U64(round_ % mask)
+
+
+def _train(sent, round_: int, mask: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -247,8 +257,7 @@ def _train(sent, round_: int, mask: int = MASK):
             for _, texts in steps(batch, "text"):
                 hashes, shape, bounds = tokens(texts)
                 stream, at = model.padded(words_.numbers(hashes, shape), bounds)
-                pick = mix(hashes + np.arange(len(hashes), dtype=U64) * U64(0x9E37) + U64(round_)) % U64(mask) == 0
-                at = at[pick]
+                at = at[targets(hashes, bounds, round_, mask)]
                 at = at[np.argsort(mix(at.astype(U64) + U64(round_)), kind="stable")]
                 for i in range(0, len(at), BATCH):
                     model.step(stream, at[i : i + BATCH], sums, RATE)
@@ -266,9 +275,13 @@ def _sum(t: pa.Table) -> pa.Table:
     return pa.table({"part": t.column("part")[:1], "pid": t.column("pid")[:1], "weight": pa.array([float(np.sum(t.column("weight").to_numpy()))]), "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, mask: int = MASK) -> WindowNetwork:
-    """Train on all of ``docs`` (text), one of ``mask`` positions a round. The driver receives the
-    frequent words and one sum of weights a round. Without words the initial weights remain."""
+def fit(docs: DataFrame, rounds: int = ROUNDS, mask: int | None = None) -> WindowNetwork:
+    """Train on all of ``docs`` (text): each round masks one of ``mask`` positions, by default one of
+    ``rounds``, so that every position is masked once. The driver receives the frequent words and one
+    sum of weights a round. Without words the initial weights remain."""
+    mask = mask or rounds
+    if mask > rounds:
+        raise ValueError(f"{rounds} rounds leave positions out that are masked in one of {mask}")
     spark = docs.sparkSession
     counts = stored(vocabulary(docs), "words")
     net = _numbered(counts)

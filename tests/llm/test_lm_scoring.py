@@ -105,3 +105,23 @@ def test_numbers_grow_with_the_corpus(spark):
         net = lm._numbered(counts)
         assert abs(len(net.known) - own) <= 1 and net.rest.count() + len(net.held) == 4000 - len(net.known)
         assert net.count >= len(net.known) + lm.SHAPES and net.numbers(net.known, np.zeros(len(net.known), int)).max() < net.count - lm.SHAPES
+
+
+def test_rounds_mask_every_position(spark):
+    texts = ["a b c d e f g " * 9, "", "a", "c c b 12 !!", None] * 20
+    hashes, _, bounds = lm.tokens(strings(pa.array(texts)))
+    for mask in (1, 2, 3):
+        assert (sum(lm.targets(hashes, bounds, r, mask).astype(int) for r in range(5, 5 + mask)) == 1).all()
+    with pytest.raises(ValueError):
+        lm.fit(spark.createDataFrame([("a",)], "text string"), rounds=2, mask=20)
+
+
+def test_production_training_learns_order_and_predicts_held_out_text(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda: " ".join(words[(s + i) % 40] for s in [rng.randrange(40)] for i in range(60))
+    net = lm.fit(spark.createDataFrame([(text(),) for _ in range(4000)], "text string").repartition(2))
+    good = [text() for _ in range(20)]
+    bad = [" ".join(rng.sample(t.split(), 60)) for t in good]
+    per_word = lambda texts: np.mean([r.log_prob / r.n_tokens for r in lm.score(spark.createDataFrame([(t,) for t in texts], "text string"), net).collect()])
+    assert per_word(good) > -np.log(40) + 1 and per_word(good) > per_word(bad) + 1
