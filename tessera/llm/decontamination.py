@@ -88,8 +88,9 @@ class Index:
         self.short = {k: [*np.flatnonzero(length == k)] for k in range(1, self.n) if (length == k).any()}
         return self
 
-    def look(self, hashes: np.ndarray, bounds: np.ndarray) -> dict[int, tuple[float, int, int, int, int]]:
-        """By text: score, item number, seed hits, and the word span that was aligned, of its best item."""
+    def look(self, hashes: np.ndarray, bounds: np.ndarray, leak: float) -> dict[int, list[tuple[float, int, int, int, int]]]:
+        """By text: score, item number, seed hits, and the word span that was aligned, of its best item
+        and then of every other item that scores ``leak`` or more."""
         grams, at = windows(hashes, bounds, self.n)
         found = hits(self.seeds, grams)
         grams, at = grams[found], at[found]
@@ -109,7 +110,7 @@ class Index:
         pad = length * 3 // 10 + 3
         low, high = np.maximum(bounds[doc], pos - shift - pad), np.minimum(bounds[doc + 1], pos - shift + length + pad)
         order = np.lexsort((low, item, doc))
-        out: dict[int, tuple[float, int, int, int, int]] = {}
+        out: dict[int, list[tuple[float, int, int, int, int]]] = {}
         i = 0
         while i < len(order):
             d, t = doc[order[i]], item[order[i]]
@@ -125,12 +126,18 @@ class Index:
                 score, end = align(own, hashes[x:y])
                 best = max(best, (score / (MATCH * len(own)), -int(x), int(x + end)))
                 j = k
-            if int(d) not in out or (best[0], -t) > (out[int(d)][0], -out[int(d)][1]):
-                out[int(d)] = (best[0], int(t), n_hits, -best[1], best[2])
+            own = out.setdefault(int(d), [])
+            new = (best[0], int(t), n_hits, -best[1], best[2])
+            if not own or (best[0], -t) > (own[0][0], -own[0][1]):
+                own.insert(0, new)
+            else:
+                own.append(new)
+            out[int(d)] = own[:1] + [x for x in own[1:] if x[0] >= leak]
             i = j
-        for d, (score, t, n_hits, x, y) in out.items():  # where it starts: the same from its end backwards
-            back = align(self.hashes[self.bounds[t] : self.bounds[t + 1]][::-1], hashes[x:y][::-1])[1]
-            out[d] = (score, t, n_hits, int(y - back - bounds[d]), int(y - bounds[d]))
+        for d, own in out.items():  # where it starts: the same from its end backwards
+            for k, (score, t, n_hits, x, y) in enumerate(own):
+                back = align(self.hashes[self.bounds[t] : self.bounds[t + 1]][::-1], hashes[x:y][::-1])[1]
+                own[k] = (score, t, n_hits, int(y - back - bounds[d]), int(y - bounds[d]))
         return out
 
 
@@ -171,13 +178,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, blo
 
     Adds ``item_id`` (null if no item has a seed in it), ``score`` (share of the item's perfect
     alignment score), ``n_seeds``, the aligned word span ``span_start``, ``span_end`` and
-    ``contaminated`` (score >= leak); a tie goes to the smaller item_id. Columns of these names are
+    ``contaminated`` (score >= leak); a tie goes to the smaller item_id. ``leaked`` lists every item
+    with score >= leak, by item_id, each with its best span. Columns of these names are
     replaced. Null and wordless texts have no item and score 0; items with a null id or without
     words match nothing; an empty benchmark leaves every document clean. Repeated rows are judged
     one by one.
     """
     spark = docs.sparkSession
-    own = T.StructType.fromDDL("item_id long, score double, n_seeds long, span_start long, span_end long")
+    own = T.StructType.fromDDL("item_id long, score double, n_seeds long, span_start long, span_end long, leaked array<struct<item_id: long, score: double, n_seeds: long, span_start: long, span_end: long>>")
     docs = docs.drop(*own.names, "contaminated")
     plain = docs
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -185,23 +193,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, blo
     blocks = math.ceil(size / block_bytes)
     schema = T.StructType(docs.schema.fields + own.fields)
     for f in own.fields:
-        docs = docs.withColumn(f.name, F.lit(0 if f.name in ("score", "n_seeds") else None).cast(f.dataType))
+        docs = docs.withColumn(f.name, F.array().cast(f.dataType) if f.name == "leaked" else F.lit(0 if f.name in ("score", "n_seeds") else None).cast(f.dataType))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).distinct().collect()
         index = Index(sorted((r.item_id, r.text) for r in part))
         index.choose(*word_counts(plain, index.words))
-        docs = docs.mapInArrow(_pass(Sent(spark, index), own.names), schema)
+        docs = docs.mapInArrow(_pass(Sent(spark, index), own.names[:-1], leak), schema)
     return docs.withColumn("contaminated", F.col("score") >= leak)
 
 
-def _pass(sent, added: list[str]):
+def _pass(sent, added: list[str], leak: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for batch in batches:
             for part, texts in steps(batch, "text"):
-                new = {c: part.column(part.schema.get_field_index(c)).to_pylist() for c in added}
-                for d, (score, t, n, x, y) in index.look(*tokens(texts)).items():
-                    row = (index.ids[t], score, n, x, y)
+                new = {c: part.column(part.schema.get_field_index(c)).to_pylist() for c in [*added, "leaked"]}
+                for d, own in index.look(*tokens(texts), leak).items():
+                    every = [dict(zip(added, (index.ids[t], score, n, x, y), strict=True)) for score, t, n, x, y in own]
+                    new["leaked"][d] = sorted(new["leaked"][d] + [e for e in every if e["score"] >= leak], key=lambda e: (e["item_id"], e["span_start"]))
+                    row = tuple(every[0].values())
+                    score = row[1]
                     if score > new["score"][d] or new["item_id"][d] is None or (score == new["score"][d] and row[0] < new["item_id"][d]):
                         for c, v in zip(added, row, strict=True):
                             new[c][d] = v

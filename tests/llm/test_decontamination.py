@@ -51,6 +51,20 @@ def test_edited_copies_are_caught_and_clean_ones_left(spark):
         assert {r.doc_id: r.item_id for r in got if r.contaminated} == leaks and len(got) == 120
 
 
+def test_every_leaked_item_is_listed(spark):
+    rng = random.Random(6)
+    items = [words(rng, 25) for _ in range(6)]
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in enumerate(items)], "item_id long, text string")
+    pad = [words(rng, 10) for _ in range(4)]
+    text = " ".join(pad[0] + items[4][:15] + pad[1] + items[1] + pad[2] + items[3] + pad[3])
+    docs = spark.createDataFrame([(1, text), (2, " ".join(pad[0])), (3, None), (4, " ".join(items[2][:5]))], "doc_id long, text string")
+    for block in (dc.BLOCK_BYTES, 300):
+        got = {r.doc_id: r for r in dc.decontaminate(docs, bench, block_bytes=block).collect()}
+        assert [(x.item_id, round(x.score, 6), x.span_start, x.span_end) for x in got[1].leaked] == [(1, 1.0, 35, 60), (3, 1.0, 70, 95), (4, 0.6, 10, 25)]
+        assert (got[1].item_id, got[1].score, got[1].span_start) == (1, 1.0, 35)
+        assert got[2].leaked == got[3].leaked == got[4].leaked == []
+
+
 def test_odd_rows(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, None), (None, "alpha beta gamma"), (3, "!!"), (4, "solo"), (5, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
     rows = [(1, None, 1.0), (2, "", 2.0), (3, "x ALPHA, beta gamma delta epsilon zeta", 3.0), (None, "alpha beta gamma delta epsilon zeta", 4.0), (3, "x ALPHA, beta gamma delta epsilon zeta", 3.0), (6, "a solo word", 0.0), (7, "b " * 100_000 + "alpha beta gamma delta epsilon zeta", 0.0)]
