@@ -315,8 +315,8 @@ def features(data: bytes) -> tuple[bytes, str]:
     entropy = -float((share * np.log2(share)).sum()) + 0.0
     mean = float((counts * np.arange(256)).sum()) / max(1, len(pcm))
     last = max((p[2] for p in parsed["packets"]), default=0) // 1_000_000
-    at = {a: n for n, (a, _) in enumerate(parsed["clusters"])}
-    good = sum(any(0 < a - c <= 12 for a in at) for _, _, c in parsed["cues"][:1])
+    starts, mark = {a for a, _ in parsed["clusters"]}, _id(CLUSTER)
+    good = sum(data[c : c + 4] == mark and any(c + 4 + w in starts for w in range(1, 9)) for _, _, c in parsed["cues"])
     return pcm, f"packets={len(parsed['packets'])};clusters={len(parsed['clusters'])};cues={len(parsed['cues'])};cued={good};last_ms={last};mean={mean:.4f};entropy={entropy:.4f}"
 
 

@@ -45,6 +45,16 @@ def test_malformed_files_are_refused(data):
         m.read(data)
 
 
+def test_every_cue_is_checked():
+    data = m.write_pcm(bytes(range(256)) * 1200)
+    cues = [at for _, _, at in m.read(data)["cues"]]
+    assert len(cues) > 2 and f";clusters={len(cues)};cues={len(cues)};cued={len(cues)};" in m.features(data)[1]
+    base = len(data) - len(data[data.index(m._id(m.INFO)) :])
+    old = m.uint(m.CUE_CLUSTER, cues[-1] - base)
+    bad = old[:-1] + bytes([old[-1] ^ 1])
+    assert data.count(old) == 1 and f";cued={len(cues) - 1};" in m.features(data.replace(old, bad))[1]
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1, "abc", 5), (1, "abc", 6), (None, None, 7), (2, "é" * 5000, 8)], "doc_id long, text string, media int")
     media = m.encode_media(df)
