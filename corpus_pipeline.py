@@ -32,13 +32,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id.
 
-    Rows with a null doc_id stay; of rows that repeat doc_id and text, one stays.
+    Rows with a null doc_id stay; of rows that repeat doc_id and text, one stays. Where a doc_id has
+    several texts each is judged by itself, so that none goes for another's sake.
     """
-    marked = near_duplicates(docs, shingle_words=5, percent=80)
-    gone = marked.where("not kept").select("doc_id").distinct()
-    docs = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    docs = docs.select(COLUMNS)
     rows, ids = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).head()
-    return docs if rows == ids else docs.dropDuplicates(["doc_id", "text"])
+    docs = docs.withColumn("_node", F.col("doc_id"))
+    if rows != ids:  # a number for each doc_id and text, in the order of the doc_ids
+        named = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text")
+        named = named.withColumn("_node", F.monotonically_increasing_id())
+        docs = stored(named.unionByName(docs.where("doc_id is null")), "nodes")
+    marked = near_duplicates(docs.select(F.col("_node").alias("doc_id"), "text"), shingle_words=5, percent=80)
+    gone = marked.where("not kept").select(F.col("doc_id").alias("_node")).distinct()
+    return docs.join(gone, "_node", "left_anti").select(COLUMNS)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -222,6 +222,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     more = stored(_compared(_rest(compared, comps, sets, percent), sets, percent).where("linked = 1").select("a", "b"), "more")
     comps = merged(comps, more)
 
+    # a document with several texts is in several classes: they are linked
+    several = own.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    several = own.join(several, "doc_id", "left_semi").join(classes.drop("keys"), ["f1", "f2", "n_shingles"]).select("doc_id", "id")
+    several = stored(several.distinct(), "several")
+    least = several.groupBy("doc_id").agg(F.min("id").alias("a"))
+    comps = merged(comps, several.join(least, "doc_id").where("id != a").select("a", F.col("id").alias("b")).distinct())
+
     # class of each row; the smallest id of a class is its node
     named = classes.select("f1", "f2", "n_shingles", "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
     named = named.select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component"))

@@ -86,6 +86,13 @@ def test_nulls_empty_ties_repeats(spark):
     assert got(spark, rows, 5) == brute(rows, 5)
 
 
+def test_a_document_with_several_texts_is_one_node(spark):
+    a, b, c = ("one two three four five six", "red green blue black white pink", "north south east west up down")
+    rows = [(4, a), (6, a), (6, b), (5, b), (7, c), (6, c), (8, "else " + a), (9, "nothing like it at all")]
+    assert got(spark, rows, 2) == brute(rows, 2)
+    assert {x[2] for x in got(spark, rows, 2)} == {4, 9}
+
+
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(df).collect() == []

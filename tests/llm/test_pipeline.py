@@ -76,3 +76,11 @@ def test_repeated_rows_leave_one(spark, tmp_path):
     rows = [(1, "same words in this row and more", "en", "a", 1)] * 3 + [(2, "other words", "en", "a", 1)]
     out = cp.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted(r.doc_id for r in out) == [1, 2]
+
+
+def test_no_text_goes_for_another_of_its_doc_id(spark, tmp_path):
+    a, b, c = ("one two three four five six seven", "red green blue black white pink grey", "north south east west up down left")
+    rows = [(4, a), (6, a), (6, b), (6, c), (2, c), (6, b), (None, a), (None, a)]
+    out = cp.near_dedup(spark, spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA), "")
+    assert out.columns == cp.COLUMNS
+    assert sorted(((r.doc_id or 0, r.text) for r in out.collect())) == [(0, a), (0, a), (2, c), (4, a), (6, b)]
