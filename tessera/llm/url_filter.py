@@ -18,7 +18,8 @@ from .common import stored, table
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: One-sided 90 % bound, the bad rate it must exceed, and the limits of a prior's strength.
 Z, BAD_RATE, WEAKEST, STRONGEST = 1.2816, 0.25, 1.0, 10000.0
-#: Suffixes of two labels; every other suffix is the last label.
+#: Suffixes of several labels where no other list is given (OP4_SQL has the same); every other suffix
+#: is the last label.
 SUFFIXES = ["co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -30,12 +31,24 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), _UPPER, _LOWER), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-def suffix_domain(host: Column) -> tuple[Column, Column]:
-    """Suffix and registered domain; an IPv4 address is its own domain under the suffix ``ip``."""
+def read_suffixes(table_: DataFrame) -> list[str]:
+    """The suffixes of several labels in a table (suffix) of a public suffix list's lines. Wildcards
+    and exceptions (``*.ck``, ``!www.ck``) and comments are left out."""
+    name = F.translate(F.trim("suffix"), _UPPER, _LOWER)
+    rows = table_.select(name.alias("suffix")).where(F.col("suffix").rlike(r"^[^*!/. ][^*! ]*[.][^*! ]*[^*!. ]$")).distinct().collect()
+    return sorted(r.suffix for r in rows)
+
+
+def suffix_domain(host: Column, suffixes: list[str] = SUFFIXES) -> tuple[Column, Column]:
+    """Suffix and registered domain by the longest of ``suffixes`` that fits, else by the last label;
+    an IPv4 address is its own domain under the suffix ``ip``."""
     ip = host.rlike(r"^[0-9]+([.][0-9]+){3}$")
-    two = F.substring_index(host, ".", -2).isin(SUFFIXES)
-    suffix = F.when(ip, "ip").otherwise(F.when(two, F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1)))
-    return suffix, F.when(ip, host).otherwise(F.when(two, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2)))
+    suffix, domain = F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        last = F.substring_index(host, ".", -n)
+        fits = last.isin([s for s in suffixes if s.count(".") + 1 == n])
+        suffix, domain = F.when(fits, last).otherwise(suffix), F.when(fits, F.substring_index(host, ".", -n - 1)).otherwise(domain)
+    return F.when(ip, "ip").otherwise(suffix), F.when(ip, host).otherwise(domain)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]], what: int) -> Column:
@@ -60,33 +73,33 @@ def _strength(groups: DataFrame, total_n: float, total_k: float) -> float:
     return STRONGEST if rho <= 0 else min(STRONGEST, max(WEAKEST, 1 / rho - 1))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
+def host_reputation(outcomes: DataFrame, suffixes: list[str] = SUFFIXES) -> DataFrame:
     """(host, n, k, rate, low): posterior bad rate and its lower bound for each host of ``outcomes``
     (host, bad 0 or 1; null ``bad`` is unlabelled and counts for nothing).
 
     Three sums over groups reach the driver, one row each. Empty outcomes give an empty table.
     """
     host = F.col("host")
-    suffix, domain = suffix_domain(host)
+    suffix, domain = suffix_domain(host, suffixes)
     labelled = F.when(F.col("bad").isNotNull(), 1)
     hosts = outcomes.groupBy("host").agg(F.count(labelled).cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k"))
     hosts = stored(hosts.withColumn("suffix", suffix).withColumn("domain", domain), "hosts")
     whole = hosts.agg(F.sum("n"), F.sum("k")).head()
     n, k = whole[0] or 0.0, whole[1] or 0.0
     up = lambda by: hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes, domains = stored(up(["suffix"]), "suffixes"), stored(up(["suffix", "domain"]), "domains")
+    tops, domains = stored(up(["suffix"]), "suffixes"), stored(up(["suffix", "domain"]), "domains")
     some = F.col("n") > 0
-    s0, s1, s2 = (_strength(x.where(some), n, k) for x in (suffixes, domains, hosts))
+    s0, s1, s2 = (_strength(x.where(some), n, k) for x in (tops, domains, hosts))
     m = (k + 0.5) / (n + 1)
     shrunk = lambda prior, s: (F.col("k") + prior * s) / (F.col("n") + s)
-    suffixes = suffixes.select("suffix", shrunk(F.lit(m), s0).alias("up0"))
-    domains = domains.join(suffixes, "suffix").select("suffix", "domain", shrunk(F.col("up0"), s1).alias("up1"))
+    tops = tops.select("suffix", shrunk(F.lit(m), s0).alias("up0"))
+    domains = domains.join(tops, "suffix").select("suffix", "domain", shrunk(F.col("up0"), s1).alias("up1"))
     out = hosts.join(domains, ["suffix", "domain"]).select("host", "n", "k", shrunk(F.col("up1"), s2).alias("rate"))
     low = F.col("rate") - Z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + s2 + 1))
     return stored(out.withColumn("low", low), "reputation")
 
 
-def url_filter(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+def url_filter(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] = RULES, suffixes: list[str] = SUFFIXES) -> DataFrame:
     """``pages`` (page_id, url) with host, path, rule, verdict, rate and low.
 
     ``outcomes`` (page_id, bad) holds at most one row for each labelled page. The verdict is the
@@ -97,7 +110,7 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     host, path = host_path(F.col("url"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
     seen = pages.join(outcomes.select("page_id", "bad"), "page_id", "left").select("host", "bad")
-    out = pages.join(host_reputation(seen).select("host", "rate", "low"), "host", "left")
+    out = pages.join(host_reputation(seen, suffixes).select("host", "rate", "low"), "host", "left")
     own = rule_of(F.col("host"), F.col("path"), rules, 1)
     method = F.when(F.col("low") > BAD_RATE, "block").otherwise("allow")
     return out.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules, 0).alias("rule"), F.coalesce(own, method).alias("verdict"), "rate", "low")

@@ -37,6 +37,19 @@ def test_shrinkage(spark):
     assert uf.host_reputation(spark.createDataFrame([], "host string, bad int")).collect() == []
 
 
+def test_suffixes_are_a_parameter(spark):
+    lines = spark.createDataFrame([("// list",), ("cn",), ("COM.cn",), ("k12.ma.us",), ("*.ck",), ("!www.ck",), (" gov.uk ",), (None,)], "suffix string")
+    own = uf.read_suffixes(lines)
+    assert own == ["com.cn", "gov.uk", "k12.ma.us"]
+    hosts = spark.createDataFrame([("a.b.com.cn",), ("x.y.k12.ma.us",), ("y.ma.us",), ("com.cn",), ("10.0.0.1",)], "host string")
+    got = {r.host: (r.s, r.d) for r in hosts.select("host", uf.suffix_domain(uf.F.col("host"), own)[0].alias("s"), uf.suffix_domain(uf.F.col("host"), own)[1].alias("d")).collect()}
+    assert got == {"a.b.com.cn": ("com.cn", "b.com.cn"), "x.y.k12.ma.us": ("k12.ma.us", "y.k12.ma.us"), "y.ma.us": ("us", "ma.us"), "com.cn": ("com.cn", "com.cn"), "10.0.0.1": ("ip", "10.0.0.1")}
+    rows = [("a.bad.com.cn", 1)] * 40 + [("b.bad.com.cn", 0)] * 2 + [("good.com.cn", 0)] * 60 + [("few.com.cn", None)]
+    rate = lambda *s: {r.host: r.rate for r in uf.host_reputation(spark.createDataFrame(rows, "host string, bad int"), *s).collect()}
+    one, apart = rate(), rate(own)
+    assert apart["b.bad.com.cn"] - apart["few.com.cn"] > one["b.bad.com.cn"] - one["few.com.cn"]
+
+
 @pytest.mark.parametrize("bad", [0, 1])
 def test_one_sided_outcomes(spark, bad):
     got = uf.host_reputation(spark.createDataFrame([("h.com", bad)] * 5, "host string, bad int")).head()
