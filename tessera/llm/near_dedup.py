@@ -7,16 +7,17 @@ share of equal coordinates estimates the Jaccard similarity with the concentrati
 independent hashes.
 
 Exact copies (equal shingle sets) are one class from the start. Classes that meet in a band's
-bucket are compared without forming all pairs of the bucket:
+bucket are compared without forming all pairs of the bucket. With n shingles of a class, T those of a
+leader and d = |class Δ T|, a similarity of p % is a symmetric difference of at most k = (100 - p) /
+(100 + p) of both sizes, so e = d - k n says by how much a class is out of the leader's reach:
 
 1. every bucket picks one leader, the member that meets most others over all buckets, and each
    member is compared exactly with the leader;
-2. components of the confirmed links; then members with one leader that are still in different
-   components are compared exactly where they can be linked at all. With c the shingles that a
-   member shares with the leader, two members share at most min(c) of the leader's shingles. If that
-   falls short of what their sizes ask for, they must also share a shingle outside the leader's set,
-   so they meet by the (prefix of the) shingles outside it; else both sizes lie in a narrow range, so
-   they meet by size.
+2. two members with e + e' <= 0 are linked for certain (triangle inequality): each such member is
+   linked to the one with the least e;
+3. any other two can only be linked if the sets (class Δ T) share (e + e') / 2 elements at least.
+   Members of one leader that are still in different components meet by the rarest of these
+   elements, those within the prefix that the pair's own bound leaves, and are compared exactly.
 
 So every candidate pair of the banding is confirmed, ruled out by a bound, or inside one component.
 """
@@ -28,14 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import LOWER, U64, mix, raw, steps, stored, stream, table, windows, word_hashes, words
 from .components import components, merged
 
 #: 40 bands of 5: a pair at similarity 0.8 shares no bucket with probability 1.3e-7.
 BANDS, ROWS = 40, 5
+#: Rows that meet one copy of a leader's set, and leaders with more rows than that which are broadcast.
+CELL, SMALL = 512, 100_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +101,15 @@ def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(out ^ stream(0xBA2E, bands)[None, :])
 
 
+def _sums(grams: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit sums over each set's hashed shingles: equal sets have equal sums and sizes."""
+    out = []
+    for salt in (0xF1, 0xF2):
+        total = np.concatenate([[U64(0)], np.cumsum(mix(grams ^ U64(salt)))])
+        out.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)))
+    return out
+
+
 def _signatures(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,12 +117,8 @@ def _signatures(n: int, bands: int, rows: int):
                 grams, bounds = shingles(*raw(texts), n)
                 sizes = np.diff(bounds)
                 keys = band_keys(sketch(grams, bounds, bands * rows), bands, rows)
-                sums = []
-                for salt in (0xF1, 0xF2):
-                    total = np.concatenate([[U64(0)], np.cumsum(mix(grams ^ U64(salt)))])
-                    sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists], ["doc_id", "n_shingles", "f1", "f2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), *_sums(grams, bounds), lists], ["doc_id", "n_shingles", "f1", "f2", "keys"])
 
     return run
 
@@ -121,68 +129,75 @@ def _sets(n: int):
             for part, texts in steps(batch, "text"):
                 grams, bounds = shingles(*raw(texts), n)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(grams.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["id", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), *_sums(grams, bounds), lists], ["doc_id", "n_shingles", "f1", "f2", "grams"])
 
     return run
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) compared on full sets: ``c`` shared shingles, sizes ``n``, ``m`` and ``linked``.
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` (a, b) with the cell of b that each row goes to, and all (b, cell): CELL rows meet in
+    a cell, so a hot b is copied instead of gathering its rows in one task."""
+    load = pairs.groupBy("b").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    hot = stored(load.where("cells > 1"), "hot")
+    hot = F.broadcast(hot) if hot.count() <= SMALL else hot
+    pairs = pairs.join(hot, "b", "left").withColumn("cell", F.coalesce(F.pmod(F.xxhash64("a"), F.col("cells")).cast("int"), F.lit(0))).drop("cells")
+    return pairs, load.select("b", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
 
-    Where an id has several sets the bounds are the loosest, and one linked pair of sets is enough.
-    """
-    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
-    pairs = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-    out = pairs.select("a", "b", F.size("ga").alias("n"), F.size("gb").alias("m"), F.size(F.array_intersect("ga", "gb")).alias("c"))
-    linked = (F.col("c").cast("long") * 100 >= (F.col("n") + F.col("m") - F.col("c")).cast("long") * percent).cast("int")
-    return out.groupBy("a", "b").agg(F.max("c").alias("c"), F.min("n").alias("n"), F.max(linked).alias("linked"))
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, more columns) with the shingles ga and gb of both."""
+    pairs, cells = _dealt(pairs)
+    cells = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")).join(cells.hint("merge"), "b")
+    pairs = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")).join(pairs.hint("merge"), "a")
+    return pairs.join(cells.hint("merge"), ["b", "cell"]).drop("cell")
 
 
-def _faced(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of a left and a right row with equal keys in different components; no pair inside
-    a component is formed. Left rows are outside their leader's component."""
-    x = left.select(*keys, F.col("comp").alias("cx"), "home").distinct()
-    y = right.select(*keys, F.col("comp").alias("cy")).distinct()
-    facing = x.join(y, keys).where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("home")) | (F.col("cx") < F.col("cy")))).drop("home")
-    own = lambda t, z: t.select(*keys, F.col("comp").alias("c" + z), F.col("id").alias("i" + z), F.col("n").alias("n" + z), F.col("c").alias("s" + z))
-    return facing.join(own(left, "x"), [*keys, "cx"]).join(own(right, "y"), [*keys, "cy"])
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) compared on full sets: ``c`` shared shingles, sizes ``n``, ``m`` and ``linked``."""
+    out = _with_sets(pairs, sets).select("a", "b", F.size("ga").cast("long").alias("n"), F.size("gb").cast("long").alias("m"), F.size(F.array_intersect("ga", "gb")).cast("long").alias("c"))
+    return out.withColumn("linked", F.col("c") * 100 >= (F.col("n") + F.col("m") - F.col("c")) * percent)
+
+
+def _certain(faced: DataFrame) -> DataFrame:
+    """(a, b) of step 2, for ``faced`` (leader, id, e, ...)."""
+    least = faced.groupBy("leader").agg(F.min("e").alias("least"))
+    best = faced.join(least, "leader").where("e = least").groupBy("leader").agg(F.min("id").alias("best"), F.min("least").alias("least"))
+    return faced.join(best, "leader").where("id != best and e + least <= 0").select(F.col("id").alias("a"), F.col("best").alias("b"))
 
 
-def _rest(compared: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that step 2 has to compare."""
+def _rest(faced: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that step 3 has to compare; ``faced`` has leader, id, n, d and e (times 100 + percent)."""
     named = comps.select(F.col("node").alias("id"), "component")
     homes = comps.select(F.col("node").alias("leader"), F.col("component").alias("home"))
-    all_ = compared.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.col("n").cast("long").alias("n"), F.col("c").cast("long").alias("c"))
-    all_ = all_.join(named, "id", "left").join(homes, "leader", "left")
-    all_ = all_.select("leader", "id", "n", "c", F.coalesce("component", "id").alias("comp"), F.coalesce("home", "leader").alias("home"))
-    mixed = all_.groupBy("leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("leader")
-    all_ = stored(all_.join(mixed, "leader", "left_semi"), "mixed")
+    all_ = faced.join(named, "id", "left").join(homes, "leader", "left")
+    all_ = all_.select("leader", "id", "n", "d", "e", F.coalesce("component", "id").alias("comp"), F.coalesce("home", "leader").alias("home"))
+    all_ = stored(all_, "faced")
     minor = F.col("comp") != F.col("home")
-    p, q = F.lit(percent), F.lit(100 + percent)
-
-    # by shingles outside the leader's set: each needs at least t n - c of them
-    need = F.greatest(F.lit(1), F.ceil((p * F.col("n") - 100 * F.col("c")) / 100))
-    outside = F.array_except("ga", "gb")
-    both = all_.join(sets.select("id", F.col("grams").alias("ga")), "id").join(sets.select(F.col("id").alias("leader"), F.col("grams").alias("gb")), "leader")
-    both = both.select("leader", "id", "n", "c", "comp", "home", outside.alias("o"), need.alias("need"))
-    prefix = F.slice("o", F.lit(1), F.greatest(F.lit(0), F.size("o") - F.col("need") + 1).cast("int"))
-    spread = both.select("leader", "id", "n", "c", "comp", "home", F.explode(prefix).alias("el")).distinct()
-    shared = spread.groupBy("leader", "el").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("leader", "el")
-    spread = stored(spread.join(shared, ["leader", "el"], "left_semi"), "outside")
-    first = _faced(spread.where(minor), spread, ["leader", "el"])
-
-    # by size: both share so much with the leader that nothing outside is needed
-    low, high = F.ceil(p * F.col("n") / 100), F.least(F.floor(100 * F.col("n") / p), F.floor(q * F.col("c") / p) - F.col("n"))
-    sized = all_.where(minor & (low <= high)).withColumn("size", F.explode(F.sequence(low, high)))
-    second = _faced(sized, all_.withColumn("size", F.col("n")), ["leader", "size"])
-    second = second.where(q * F.least("sx", "sy") >= p * (F.col("nx") + F.col("ny")))
-
-    most = F.least("sx", "sy") + F.least(F.col("nx") - F.col("sx"), F.col("ny") - F.col("sy"))
-    fits = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * p) & (q * most >= p * (F.col("nx") + F.col("ny")))
-    cols = (F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b"))
-    found = first.where(fits).select(*cols).union(second.where(fits).select(*cols)).distinct()
-    known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.join(known, ["a", "b"], "left_anti")
+    # d - d' <= k (n + n') must hold both ways, or the pair is out of reach
+    reach = F.col("e") + 2 * (100 - percent) * F.col("n")
+    bounds = all_.groupBy("leader").agg(F.min("e").alias("any_e"), F.min(F.when(minor, F.col("e"))).alias("minor_e"), F.max(F.when(minor, reach)).alias("minor_reach"))
+    bounds = bounds.where("minor_e is not null")
+    all_ = all_.join(bounds, "leader").where(minor | ((reach >= F.col("minor_e")) & (F.col("e") <= F.col("minor_reach"))))
+    all_ = all_.withColumn("other_e", F.when(minor, F.col("any_e")).otherwise(F.col("minor_e"))).drop("any_e", "minor_e", "minor_reach")
+
+    both = _with_sets(all_.withColumnRenamed("id", "a").withColumnRenamed("leader", "b"), sets).withColumnRenamed("a", "id").withColumnRenamed("b", "leader")
+    apart = F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga"))
+    spread = stored(both.select("leader", "id", "n", "d", "e", "comp", "home", "other_e", F.explode(apart).alias("el")), "apart")
+    # elements that one component has alone come first in the order: they can't be what a pair shares
+    often = spread.groupBy("leader", "el").agg(F.count("*").alias("often"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
+    own = W.partitionBy("leader", "id")
+    spread = spread.join(often.hint("merge"), ["leader", "el"])
+    spread = spread.withColumn("at", F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "el")))
+    need = lambda e: F.greatest(F.lit(1), F.ceil(e / (2 * (100 + percent))))
+    spread = spread.where(F.col("at") <= F.col("d") - need(F.col("e") + F.col("other_e")) + 1)
+    spread = stored(spread.select("leader", "el", "id", "n", "d", "e", "comp", "home", "at"), "prefixes")
+    x = spread.where(minor).select("leader", "el", "home", *(F.col(c).alias("x" + c) for c in ("id", "n", "d", "e", "comp", "at")))
+    y = spread.select("leader", "el", *(F.col(c).alias("y" + c) for c in ("id", "n", "d", "e", "comp", "at")))
+    share = need(F.col("xe") + F.col("ye"))
+    apart = (F.col("xcomp") != F.col("ycomp")) & ((F.col("ycomp") == F.col("home")) | (F.col("xcomp") < F.col("ycomp")))
+    fits = (F.col("xat") <= F.col("xd") - share + 1) & (F.col("yat") <= F.col("yd") - share + 1) & (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent)
+    found = x.join(y.hint("merge"), (x.leader == y.leader) & (x.el == y.el) & apart & fits)
+    return found.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -198,42 +213,57 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"
-    signed = stored(docs.mapInArrow(_signatures(shingle_words, bands, rows), schema), "signed")
+    signed = docs.mapInArrow(_signatures(shingle_words, bands, rows), schema).withColumn("row", F.monotonically_increasing_id())
+    signed = stored(signed, "signed")
     own = signed.where("doc_id is not null and n_shingles > 0")
-    classes = stored(own.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "classes")
+    same = ["f1", "f2", "n_shingles"]
+    # a class goes by the least number of its rows
+    classes = own.groupBy(*same).agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    classes = stored(classes, "classes")
 
     # members of buckets that hold two classes or more
     spread = classes.select("id", F.explode("keys").alias("key"))
     met = spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = stored(spread.join(met, "key"), "members")
-    weight = members.groupBy("id").agg(F.sum("c").alias("weight"))
+    members = stored(spread.join(met.hint("merge"), "key"), "members")
+    weight = stored(members.groupBy("id").agg(F.sum("c").alias("weight")), "weight")
     # the heaviest member leads, the smallest id of those; both maxima are plain numbers
-    ranked = members.join(weight, "id")
+    ranked = members.join(weight.hint("merge"), "id")
     top = ranked.groupBy("key").agg(F.max("weight").alias("weight"))
     leaders = ranked.join(top, ["key", "weight"]).groupBy("key").agg(F.min("id").alias("leader"))
     star = members.select("key", "id").join(leaders, "key").where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     star = stored(star, "star")
 
-    needed = members.select("id").distinct()
-    texts = docs.join(needed, docs.doc_id == needed.id, "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = stored(texts.mapInArrow(_sets(shingle_words), "id long, grams array<long>"), "sets")
+    # a doc_id that repeats: its rows may be equal, or texts of several classes, which are linked then
+    repeated = stored(own.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated")
+    repeats = bool(repeated.limit(1).count())
+
+    needed = classes.drop("keys").join(weight.select("id"), "id", "left_semi")
+    texts = docs.join(needed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(shingle_words), "doc_id long, n_shingles long, f1 long, f2 long, grams array<long>")
+    sets = sets.join(needed.hint("merge"), ["doc_id", *same]).select("id", "grams")
+    sets = stored(sets.groupBy("id").agg(F.first("grams").alias("grams")) if repeats else sets, "sets")
+
     compared = stored(_compared(star, sets, percent), "compared")
-    comps = components(compared.where("linked = 1").select("a", "b"))
-    more = stored(_compared(_rest(compared, comps, sets, percent), sets, percent).where("linked = 1").select("a", "b"), "more")
+    apart = F.col("n") + F.col("m") - 2 * F.col("c")
+    faced = compared.select(F.col("b").alias("leader"), F.col("a").alias("id"), "n", apart.alias("d"), ((100 + percent) * apart - (100 - percent) * F.col("n")).alias("e"))
+    links = compared.where("linked").select("a", "b").union(_certain(faced))
+    if repeats:
+        several = own.join(repeated, "doc_id", "left_semi").join(classes.select(*same, "id"), same).select("doc_id", "id").distinct()
+        several = stored(several, "several")
+        least = several.groupBy("doc_id").agg(F.min("id").alias("a"))
+        links = links.union(several.join(least, "doc_id").where("id != a").select("a", F.col("id").alias("b")).distinct())
+    comps = components(links)
+    rest = stored(_rest(faced, comps, sets, percent), "rest")
+    more = stored(_compared(rest, sets, percent).where("linked").select("a", "b"), "more")
     comps = merged(comps, more)
 
-    # a document with several texts is in several classes: they are linked
-    several = own.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    several = own.join(several, "doc_id", "left_semi").join(classes.drop("keys"), ["f1", "f2", "n_shingles"]).select("doc_id", "id")
-    several = stored(several.distinct(), "several")
-    least = several.groupBy("doc_id").agg(F.min("id").alias("a"))
-    comps = merged(comps, several.join(least, "doc_id").where("id != a").select("a", F.col("id").alias("b")).distinct())
-
-    # class of each row; the smallest id of a class is its node
-    named = classes.select("f1", "f2", "n_shingles", "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component"))
-    out = signed.drop("keys").join(named, ["f1", "f2", "n_shingles"], "left")
-    component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    # class of each row, by the smallest doc_id of its component
+    named = classes.select(*same, "id", "doc_id").join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left")
+    named = stored(named.select(*same, F.coalesce("component", "id").alias("component"), "doc_id"), "named")
+    first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.drop("doc_id").join(first.hint("merge"), "component").select(*same, "component_id")
+    out = signed.select("doc_id", *same).join(named.hint("merge"), same, "left")
+    component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

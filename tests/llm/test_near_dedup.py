@@ -119,3 +119,35 @@ def test_sketch_fills_and_estimates():
         x, y = set(a), set(b)
         assert abs((s[0] == s[1]).mean() - len(x & y) / len(x | y)) < 0.13
         assert band_keys(s, 40, 5).shape == (3, 40)
+
+
+def test_a_large_group_of_near_copies_needs_few_comparisons(spark, monkeypatch):
+    """Copies on both sides of the threshold: links as by brute force, far fewer pairs than all."""
+    from tessera.llm import near_dedup
+
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    n, texts = 1500, []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice((1, 2, 3, 5, 8, 10, 12, 14, 18))):
+            words[at] = f"{i}x{at}"
+        texts.append(words + ["the", "last", "line", "of", "them"] * (rng.random() < 0.4))
+    sets = [{*zip(w, w[1:], strict=False)} for w in texts]
+    number: dict = {}
+    grid = np.zeros((n, sum(map(len, sets))), np.float32)
+    for i, s in enumerate(sets):
+        grid[i, [number.setdefault(x, len(number)) for x in s]] = 1
+    grid = grid[:, : len(number)]
+    size, shared = grid.sum(1), grid @ grid.T
+    near = 100 * shared >= 80 * (size[:, None] + size[None] - shared)
+    root = np.arange(n)
+    while (new := np.where(near, root[None], n).min(1)).tolist() != root.tolist():
+        root = new
+    asked = []
+    rest = near_dedup._rest
+    monkeypatch.setattr(near_dedup, "_rest", lambda *a: (lambda df: asked.append(df.count()) or df)(rest(*a)))
+    out = got(spark, [(i, " ".join(w)) for i, w in enumerate(texts)], 2)
+    assert sorted((x[0], x[2]) for x in out) == [(i, int(r)) for i, r in enumerate(root)]
+    assert 100 < len(set(root)) and asked[0] < 10 * n
