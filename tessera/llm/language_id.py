@@ -5,8 +5,10 @@ A document is parsed greedily into the longest phrases that the automaton accept
 never saw is a phrase of its own); phrases times log2 of the training length, over the document's
 length, estimates the cross entropy, and the least wins.
 
-The parse runs over fixed segments in lockstep, one table lookup for a byte of every segment at
-once; a phrase ends at a segment's end.
+The parse is that of the whole text, found for segments in lockstep, one table lookup for a byte of
+every segment at once. At first no segment knows the phrase that is open at its start; then each is
+parsed again from the state that the one before ends in, up to the byte where both parses are in one
+state, as they agree from there on. Segments whose start has changed by that go round again.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from pyspark.sql import types as T
 from .common import Sent, crc_mod, raw, steps, strings, table
 
 #: Training bytes of a language (its automaton has less than twice as many states, so 16 bits hold
-#: a state), the documents they come from at most, and the characters taken from each.
-TRAIN_BYTES, TRAIN_DOCS, PIECE = 30_000, 256, 400
+#: a state), the documents they come from at most, and the characters taken from each; of those, a
+#: document gives its share of the bytes at most, which cuts only pieces of over 468 bytes.
+TRAIN_BYTES, TRAIN_DOCS, PIECE = 30_000, 64, 400
 SEGMENT = 256
 FAIL = 65535
 PAD, UNSEEN = 0, 1
@@ -93,7 +96,7 @@ class LanguageModel:
         self.width = 2 + len(seen)
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """n_texts x n_languages phrase counts."""
+        """n_texts x n_languages phrase counts of the greedy parses."""
         lengths = np.diff(offsets)
         rows = -(-lengths // SEGMENT)
         total = int(rows.sum())
@@ -105,25 +108,53 @@ class LanguageModel:
         start = offsets[:-1][owner] + (np.arange(total) - first[owner]) * SEGMENT
         size = np.minimum(SEGMENT, offsets[1:][owner] - start)
         order = np.argsort(-size, kind="stable")  # so that the segments still open are a head
+        place = np.empty(total, np.int64)
+        place[order] = np.arange(total)
+        later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        later = later[np.argsort(place[later], kind="stable")]
+        own, before = place[later], place[later - 1]  # segments and those that go before them
         start, size, owner = start[order], size[order], owner[order]
         codes = self.code[data]
         live = np.searchsorted(-size, -np.arange(SEGMENT), "left")
         for j, flat in enumerate(self.tables):
             closed = len(flat) // self.width - 1
-            state, fails = np.full(total, closed, np.int32), np.zeros(total, np.int32)
             root = np.where(flat[: self.width] == FAIL, closed, flat[: self.width])
+            states, bad = np.zeros((SEGMENT, total), np.uint16), np.zeros((SEGMENT, total), bool)
+            state = np.full(total, closed, np.int32)
             for i in range(SEGMENT):
                 n = live[i]
                 if not n:
                     break
                 c = codes[start[:n] + i]
                 to = flat[state[:n] * np.int32(self.width) + c]
-                bad = to == FAIL
-                fails[:n] += bad
-                state[:n] = np.where(bad, root[c], to)
-            out[:, j] = np.bincount(owner, fails, len(lengths)).astype(np.int64)
+                np.equal(to, FAIL, out=bad[i, :n])
+                state[:n] = np.where(bad[i, :n], root[c], to)
+                states[i, :n] = state[:n]
+            entry = np.full(total, closed, np.int32)
+            while len(changed := np.flatnonzero(state[before] != entry[own])):
+                again = own[changed]
+                entry[again] = state[before[changed]]
+                state[again] = self._again(flat, root, codes, start, size, again, entry[again], states, bad)
+            out[:, j] = np.bincount(owner, bad.sum(axis=0), len(lengths)).astype(np.int64)
         return out
 
+    def _again(self, flat, root, codes, start, size, again, state, states, bad) -> np.ndarray:
+        """Parse the segments ``again`` (longest first) from other states; the states at their ends."""
+        live = again
+        for i in range(SEGMENT):
+            n = int(np.searchsorted(-size[live], -i, "left"))
+            live, state = live[:n], state[:n]
+            if not n:
+                break
+            c = codes[start[live] + i]
+            to = flat[state * np.int32(self.width) + c]
+            bad[i, live] = to == FAIL
+            state = np.where(to == FAIL, root[c], to).astype(np.int32)
+            open_ = states[i, live] != state
+            live, state = live[open_], state[open_]
+            states[i, live] = state
+        return states[size[again] - 1, again].astype(np.int32)
+
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         data, offsets = coded(texts)
         lengths = np.maximum(1, np.diff(offsets))
@@ -146,7 +177,8 @@ def fit(docs: DataFrame, cells: int = TRAIN_DOCS) -> LanguageModel:
     """Learn from ``docs`` (doc_id, text, lang); rows with a null among these teach nothing.
 
     The sample is one document of each of ``cells`` hash cells of every language, so its size is
-    bounded whatever the corpus is; from each it takes PIECE characters around the middle.
+    bounded whatever the corpus is; from each it takes PIECE characters around the middle. Repeated
+    rows count once. An empty table teaches nothing.
     """
     at = F.xxhash64("doc_id")
     known = docs.where("doc_id is not null and lang is not null and text is not null")
@@ -154,17 +186,18 @@ def fit(docs: DataFrame, cells: int = TRAIN_DOCS) -> LanguageModel:
     middle = F.greatest(F.lit(1), (F.length("text") - PIECE) / 2).cast("int")
     rows = known.select("lang", at.alias("at"), F.substring("text", middle, F.lit(PIECE)).alias("text"))
     found = rows.join(picks, (rows.at == picks.h) & (rows.lang == picks.l)).dropDuplicates(["lang", "at"]).select("lang", "at", "text").collect()
-    texts: dict[str, list[str]] = {}
+    texts: dict[str, bytes] = {}
     for r in sorted(found, key=lambda r: (r.lang, r.at)):
-        texts.setdefault(r.lang, []).append(r.text)
-    return LanguageModel({k: coded(pa.array([" ".join(v)]))[0].tobytes() for k, v in texts.items()})
+        texts[r.lang] = texts.get(r.lang, b"") + coded(pa.array([r.text]))[0].tobytes()[: TRAIN_BYTES // cells - 1] + b" "
+    return LanguageModel(texts)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` (text, any columns) with ``lang_pred`` and ``score`` (0 to 1).
 
     Null text or text without a letter: ``und`` and 0; so are all rows if nothing was learned. A tie
-    goes to the language first in order. Columns of these two names are replaced. No shuffle.
+    goes to the language first in order. Columns of these two names are replaced; repeated rows get
+    equal results, an empty table gives an empty result. No shuffle.
     """
     sent = Sent(docs.sparkSession, model)
     docs = docs.drop("lang_pred", "score")

@@ -1,21 +1,19 @@
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tessera.llm import language_id as li
 
 
 def brute(text: bytes, train: bytes) -> int:
-    """Greedy phrases, segment by segment."""
-    n = 0
-    for s in range(0, len(text), li.SEGMENT):
-        part, i = text[s : s + li.SEGMENT], 0
-        while i < len(part):
-            j = i + 1
-            while j <= len(part) and part[i:j] in train:
-                j += 1
-            i = max(i + 1, j - 1)
-            n += 1
+    """Greedy phrases of the whole text."""
+    n, i = 0, 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in train:
+            j += 1
+        i, n = max(i + 1, j - 1), n + 1
     return n
 
 
@@ -23,7 +21,8 @@ def test_phrases_match_brute_force():
     rng = random.Random(3)
     train = {k: bytes(rng.choice(b"abc d\xc3\xa9") for _ in range(400)) for k in ("x", "y")}
     model = li.LanguageModel(train)
-    texts = ["".join(rng.choice("abcd eé!z") for _ in range(n)) for n in (0, 1, 5, 255, 256, 257, 900, 3)]
+    texts = ["".join(rng.choice("abcd eé!z") for _ in range(n)) for n in (0, 1, 5, 255, 256, 257, 900, 3, 5000, 512)]
+    texts += [train["x"].decode(errors="ignore") * 8, "a" * 2000, "".join(rng.choice("abc ") for _ in range(3000))]
     data, offsets = li.coded(pa.array(texts, pa.large_string()))
     got = model.phrases(data, offsets)
     for i in range(len(texts)):
@@ -47,6 +46,16 @@ def test_predictions_on_odd_rows(spark):
     assert {r.lang_pred for r in li.identify(spark.createDataFrame(rows, "doc_id long, text string, n int"), none).collect()} == {"und"}
 
 
+def test_held_out_languages_are_no_input(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    crc = F.crc32(F.col("doc_id").cast("string")) % 4
+    docs.withColumn("lang", F.when(crc == 2, F.lit("xx")).otherwise(F.col("lang"))).write.parquet(f"{tmp_path}/documents.parquet")
+    one, other = ({r.doc_id: r for r in li.op9_language(spark, x).collect()} for x in (d, str(tmp_path)))
+    assert one == other
+    assert {r.doc_id for r in one.values() if r.held_out} == {r.doc_id for r in docs.where(crc == 2).collect()}
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = li.op9_language(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
