@@ -7,9 +7,9 @@ words, each given both sides.
 
 Word counts are taken over the whole corpus; the most frequent words have a number each, more of them
 the larger the corpus, and the rest share numbers by shape. The network gives the shape of such a
-word, the corpus counts give the word among those of its shape, by a join on the word. Training covers the whole corpus: every partition runs AdaGrad over masked
-positions of all its documents, and the partitions' weights are averaged, in rounds, which together
-mask every position.
+word, the corpus counts give the word among those of its shape, by a join on the word. Training covers
+every position of the whole corpus: every partition runs AdaGrad over its documents, each position
+masked in turn, and the partitions' weights are averaged, in rounds that share out the documents.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, Sent, mix, raw, steps, stored, table, word_hashes, words
+from .common import LOWER, U64, Sent, raw, steps, stored, table, word_hashes, words
 
 #: Classes x words of a class = numbers, at least; the last SHAPES of them are for all rarer words.
 CLASSES, EACH, SHAPES = 32, 32, 64
@@ -34,10 +34,11 @@ GROWTH = 8
 HELD = 1 << 18
 #: What a word's count among those of its shape is raised by; an unseen word has this alone.
 UNSEEN = 0.1
-WINDOW, SIZE = 3, 24
-#: Rounds of averaging; each masks its share of the positions, all of them together every position.
+WINDOW, SIZE = 3, 16
+#: Rounds of averaging; each document has its positions masked in one of them.
 ROUNDS = 2
-BATCH, RATE = 1024, 0.15
+#: Words of a step: LEAST, then the words before it in this partition over GROWING, up to LARGEST.
+LEAST, GROWING, LARGEST, RATE = 512, 32, 8192, 0.2
 NUMBERS = CLASSES * EACH
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 #: Weight vectors travel in this many parts, and at most FAN of them meet in one sum.
@@ -45,7 +46,8 @@ PARTS, FAN = 8, 64
 
 
 def tokens(texts: pa.Array):
-    """Hashes of the lower-cased words, a shape of each in 0..SHAPES-1, and n_texts+1 bounds."""
+    """Hashes of the lower-cased words, a shape of each in 0..SHAPES-1, which also is the hash modulo
+    SHAPES, and n_texts+1 bounds."""
     data, offsets = raw(texts)
     data = LOWER[data]
     starts, ends, _, bounds = words(data, offsets)
@@ -56,7 +58,7 @@ def tokens(texts: pa.Array):
     length, letters, digits = ends - starts, count(letter), count(digit)
     other = (length - letters - digits) > (length > 3)  # one mark at a word's end is usual
     shape = np.minimum(3, length // 5) * 16 + other * 8 + (digits > 0) * 4 + (hashes & U64(3)).astype(np.int64)
-    return hashes, shape, bounds
+    return hashes & ~U64(SHAPES - 1) | shape.astype(U64), shape, bounds
 
 
 class WindowNetwork:
@@ -101,11 +103,17 @@ class WindowNetwork:
         out[at] = ids
         return out, at
 
-    def hidden(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-        h = np.broadcast_to(self.p["bias"], (len(at), SIZE)).copy()
+    def near(self, stream: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers around the ascending places, their embeddings, and each place's hidden layer."""
+        low, n = at[0], at[-1] + 1 - at[0]
+        ids = stream[low - WINDOW : low + n + WINDOW]
+        e = self.p["embed"][ids]
+        h = np.broadcast_to(self.p["bias"], (n, SIZE)).copy()
+        part = np.empty_like(h)
         for j, o in enumerate(OFFSETS):
-            h += (self.p["embed"] * self.p["place"][j])[stream[at + o]]
-        return np.tanh(h)
+            h += np.multiply(e[WINDOW + o : WINDOW + o + n], self.p["place"][j], out=part)
+        h = h[at - low]
+        return ids, e, np.tanh(h, out=h)
 
     def counts(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The held counts of words, 0 for others, and which are held."""
@@ -115,74 +123,91 @@ class WindowNetwork:
         hit = self.held[at] == hashes
         return np.where(hit, self.held_n[at], 0), hit
 
-    @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+    def safe(self) -> bool:
+        """Whether no logit can be so large that its exponential leaves the range of numbers."""
+        return max(float(np.abs(self.p[k]).sum(axis=-1).max() + np.abs(self.p[k + "_bias"]).max()) for k in ("class", "word")) < 60
+
+    def sorted_by_class(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """An order of words by class, class and word in it of each in that order, and the classes' bounds."""
+        cls = (ids // self.each).astype(np.uint16)
+        order = np.argsort(cls, kind="stable")
+        return order, cls[order], (ids[order] % self.each), np.searchsorted(cls[order], np.arange(self.classes + 1))
 
     def log_probs(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log-probability of each word at the given places, given both sides."""
-        out = np.empty(len(at), np.float64)
-        for i in range(0, len(at), 1 << 16):
-            own = at[i : i + (1 << 16)]
-            ids = stream[own]
-            order = np.argsort(ids // self.each, kind="stable")
-            own, ids = own[order], ids[order]
-            h = self.hidden(stream, own)
-            cls = ids // self.each
-            z = h @ self.p["class"].T + self.p["class_bias"]
-            top = z.max(axis=1)
-            lp = z[np.arange(len(own)), cls] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
-            cut = np.searchsorted(cls, np.arange(self.classes + 1))
+        """Log-probability of each word at the given ascending places, given both sides."""
+        out, safe = np.empty(len(at), np.float64), self.safe()
+        for i in range(0, len(at), LARGEST):
+            own = at[i : i + LARGEST]
+            h = self.near(stream, own)[2]
+            order, cls, word, cut = self.sorted_by_class(stream[own])
+            h = h[order]
+            rows = np.arange(len(own))
+            z = h @ self.p["class"].T
+            z += self.p["class_bias"]
+            lp = z[rows, cls]
+            lp -= _log_sum(z, safe)
             for c in range(self.classes):
                 a, b = cut[c], cut[c + 1]
                 if a < b:
-                    z = h[a:b] @ self.p["word"][c].T + self.p["word_bias"][c]
-                    top = z.max(axis=1)
-                    lp[a:b] += z[np.arange(b - a), ids[a:b] % self.each] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
-            part = np.empty(len(own))
-            part[order] = lp
-            out[i : i + len(own)] = part
+                    z = h[a:b] @ self.p["word"][c].T
+                    z += self.p["word_bias"][c]
+                    lp[a:b] += z[rows[: b - a], word[a:b]]
+                    lp[a:b] -= _log_sum(z, safe)
+            out[i + order] = lp
         return out
 
     def step(self, stream: np.ndarray, at: np.ndarray, sums: dict[str, np.ndarray], rate: float) -> None:
-        """One AdaGrad step on the words at the given places."""
-        p, n = self.p, len(at)
-        ids = stream[at]
-        order = np.argsort(ids // self.each, kind="stable")
-        at, ids = at[order], ids[order]
-        cls, word = ids // self.each, ids % self.each
-        h = self.hidden(stream, at)
-        zc = self._softmax(h @ p["class"].T + p["class_bias"])
-        zc[np.arange(n), cls] -= 1
-        grad = {"class": zc.T @ h, "class_bias": zc.sum(axis=0), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
-        dh = zc @ p["class"]
-        cut = np.searchsorted(cls, np.arange(self.classes + 1))
+        """One AdaGrad step on the words at the given ascending places."""
+        p, n, safe = self.p, np.float32(len(at)), self.safe()
+
+        def descend(g: np.ndarray, key: str, where=...) -> None:
+            g = g / n
+            sums[key][where] += g * g
+            p[key][where] -= rate * g / np.sqrt(sums[key][where])  # where nothing is said, the gradient is 0
+
+        ids, e, h = self.near(stream, at)
+        order, cls, word, cut = self.sorted_by_class(stream[at])
+        h = h[order]
+        z = _softmax(h @ p["class"].T + p["class_bias"], safe)
+        z[np.arange(len(at)), cls] -= 1
+        dh = z @ p["class"]
+        descend(z.T @ h, "class")
+        descend(z.sum(axis=0), "class_bias")
         for c in range(self.classes):
             a, b = cut[c], cut[c + 1]
             if a < b:
-                z = self._softmax(h[a:b] @ p["word"][c].T + p["word_bias"][c])
+                z = _softmax(h[a:b] @ p["word"][c].T + p["word_bias"][c], safe)
                 z[np.arange(b - a), word[a:b]] -= 1
-                grad["word"][c], grad["word_bias"][c] = z.T @ h[a:b], z.sum(axis=0)
                 dh[a:b] += z @ p["word"][c]
+                descend(z.T @ h[a:b], "word", c)
+                descend(z.sum(axis=0), "word_bias", c)
         dh *= 1 - h * h
-        grad["bias"] = dh.sum(axis=0)
-        near = [stream[at + o] for o in OFFSETS]
-        grad["place"] = np.stack([(dh * p["embed"][x]).sum(axis=0) for x in near])
-        flat = np.concatenate(near)
-        rows = np.concatenate([dh * w for w in p["place"]])
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        heads = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        own = flat[heads]
-        g = np.add.reduceat(rows[order], heads, axis=0) / np.float32(n)
-        g[own == self.count] = 0
-        sums["embed"][own] += g * g
-        p["embed"][own] -= rate * g / np.sqrt(sums["embed"][own])  # the other rows have no gradient
-        for k, g in grad.items():
-            g = g / np.float32(n)
-            sums[k] += g * g
-            p[k] -= rate * g / np.sqrt(sums[k])
+        m = len(e) - 2 * WINDOW
+        d = np.zeros((m, SIZE), np.float32)
+        d[at[order] - at[0]] = dh
+        de, place = np.zeros_like(e), np.empty_like(p["place"])
+        for j, o in enumerate(OFFSETS):
+            de[WINDOW + o : WINDOW + o + m] += d * p["place"][j]
+            place[j] = np.einsum("ij,ij->j", d, e[WINDOW + o : WINDOW + o + m])
+        order = np.argsort(ids.astype(np.uint16) if self.count < 1 << 16 else ids, kind="stable")
+        ids = ids[order]
+        heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        g = np.add.reduceat(de[order], heads, axis=0)
+        g[ids[heads] == self.count] = 0
+        descend(g, "embed", ids[heads])
+        descend(place, "place")
+        descend(d.sum(axis=0), "bias")
+
+    def train(self, texts: pa.Array, sums: dict[str, np.ndarray], done: int = 0) -> int:
+        """Steps over every word of the texts; ``done`` words went before. How many there are now."""
+        hashes, shape, bounds = tokens(texts)
+        stream, at = self.padded(self.numbers(hashes, shape), bounds)
+        i = 0
+        while i < len(at):
+            size = min(LARGEST, max(LEAST, (done + i) // GROWING))
+            self.step(stream, at[i : i + size], sums, RATE)
+            i += size
+        return done + len(at)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].reshape(-1) for k in sorted(self.p)])
@@ -201,17 +226,35 @@ class WindowNetwork:
         return self
 
 
+def _softmax(z: np.ndarray, safe: bool) -> np.ndarray:
+    """In place; only where logits may be ``safe`` no maximum is taken off first."""
+    if not safe:
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _log_sum(z: np.ndarray, safe: bool) -> np.ndarray:
+    """Logarithm of the sum of the exponentials of each row, which takes the place of ``z``."""
+    if safe:
+        return np.log(np.exp(z, out=z).sum(axis=1))
+    top = z.max(axis=1)
+    z -= top[:, None]
+    return top + np.log(np.exp(z, out=z).sum(axis=1))
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
     """(h, shape, n): every distinct word of the corpus by its hash, and how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in steps(batch, "text", 8 << 20):
-                hashes, shape, _ = tokens(texts)
-                h, at, n = np.unique(hashes, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(shape[at].astype(np.int32)), pa.array(n)], ["h", "shape", "n"])
+                h, n = np.unique(tokens(texts)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    return docs.select("text").mapInArrow(run, "h long, shape int, n long").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return counts.select("h", F.pmod("h", F.lit(SHAPES)).cast("int").alias("shape"), "n")
 
 
 def _numbered(counts: DataFrame) -> WindowNetwork:
@@ -238,30 +281,15 @@ def _numbered(counts: DataFrame) -> WindowNetwork:
     return net
 
 
-def targets(hashes: np.ndarray, bounds: np.ndarray, round_: int, mask: int) -> np.ndarray:
-    """Which words a round masks, by the word and its place in the document: of any ``mask`` rounds
-    in a row, each word is masked in just one, however the documents are dealt to tasks and batches."""
-    place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
-    return mix(hashes + place.astype(U64) * U64(0x9E37)) % U64(mask) == U64(round_ % mask)
-
-
-def _train(sent, round_: int, mask: int):
+def _train(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words_ = sent.value
-        model = words_.copy()
+        model, done = sent.value.copy(), 0
         sums = {k: np.full_like(v, 1e-4) for k, v in model.p.items()}
-        done = 0
         for batch in batches:
             for _, texts in steps(batch, "text"):
-                hashes, shape, bounds = tokens(texts)
-                stream, at = model.padded(words_.numbers(hashes, shape), bounds)
-                at = at[targets(hashes, bounds, round_, mask)]
-                at = at[np.argsort(mix(at.astype(U64) + U64(round_)), kind="stable")]
-                for i in range(0, len(at), BATCH):
-                    model.step(stream, at[i : i + BATCH], sums, RATE)
-                done += len(at)
+                done = model.train(texts, sums, done)
         if done:
             flat = np.array_split(model.flat() * np.float64(done), PARTS)
             context = TaskContext.get()
@@ -275,19 +303,19 @@ def _sum(t: pa.Table) -> pa.Table:
     return pa.table({"part": t.column("part")[:1], "pid": t.column("pid")[:1], "weight": pa.array([float(np.sum(t.column("weight").to_numpy()))]), "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, mask: int | None = None) -> WindowNetwork:
-    """Train on all of ``docs`` (text): each round masks one of ``mask`` positions, by default one of
-    ``rounds``, so that every position is masked once. The driver receives the frequent words and one
-    sum of weights a round. Without words the initial weights remain."""
-    mask = mask or rounds
-    if mask > rounds:
-        raise ValueError(f"{rounds} rounds leave positions out that are masked in one of {mask}")
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> WindowNetwork:
+    """Train on all of ``docs`` (text): each document is in one of the rounds, by the hash of its text,
+    and there each of its positions is masked once. The driver receives the frequent words and one
+    sum of weights a round. Without words the initial weights remain. How the rows are dealt to
+    partitions and their order have a part in the weights, as each partition steps on its own.
+    Null and empty texts teach nothing; repeated rows count each."""
     spark = docs.sparkSession
     counts = stored(vocabulary(docs), "words")
     net = _numbered(counts)
     schema = "part long, pid long, weight double, v array<double>"
     for r in range(rounds):
-        own = docs.select("text").mapInArrow(_train(Sent(spark, net), r, mask), schema)
+        own = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r)
+        own = own.mapInArrow(_train(Sent(spark, net)), schema)
         left = docs.rdd.getNumPartitions()
         while True:  # sums of FAN at a time
             own = own.withColumn("pid", F.floor(F.col("pid") / FAN).cast("long")).groupBy("part", "pid").applyInArrow(_sum, schema)
@@ -308,7 +336,8 @@ def score(docs: DataFrame, net: WindowNetwork) -> DataFrame:
     its count plus UNSEEN, of ``net.mass``. Counts that the network does not hold are joined.
 
     Null and blank texts have no tokens: log_prob 0, perplexity null. Columns of these names are
-    replaced. The network runs row by row over whole texts.
+    replaced; repeated rows get equal results, an empty table gives an empty result. The network runs
+    row by row over whole texts.
     """
     sent = Sent(docs.sparkSession, net)
     docs = docs.drop("n_tokens", "log_prob", "perplexity")
