@@ -13,6 +13,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +25,8 @@ from .common import Sent, steps, table
 
 # Fixed values of the HTML format.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style title noscript template iframe svg object audio video canvas".split())
+RAW = frozenset("script style title iframe textarea".split())
+HIDDEN = RAW | frozenset("noscript template svg object audio video canvas select button datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SECTIONS = frozenset("article aside body footer form header main nav section".split())
@@ -34,7 +36,8 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
-_SHUT = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in HIDDEN}
+_SHUT = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
+_ENDS = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>?", re.I) for t in HIDDEN - RAW}
 #: Words that tell menus, notices, adverts and comments from articles.
 TELLING = frozenset(
     "accept account ad ads advertisement advertise agree archive author categories click comment comments contact consent cookie cookies copyright "
@@ -44,11 +47,23 @@ TELLING = frozenset(
 )
 
 
+class Node:
+    """An open element: features that no ancestor has, and what a block below it takes from its
+    ancestors: the nearest tag that is not inline, and the nearest element with telling names."""
+
+    __slots__ = ("fresh", "near", "parent", "score", "tag", "top")
+
+    def __init__(self, tag: str, own: tuple[str, ...], parent: Node | None, fresh: tuple[str, ...]):
+        self.tag, self.parent, self.fresh, self.score = tag, parent, fresh, None
+        self.top = tag if tag not in INLINE else parent.top if parent else "none"
+        self.near = own if len(own) > 1 or tag in SECTIONS else parent.near if parent else ()
+
+
 class Block:
-    __slots__ = ("linked", "path", "text")
+    __slots__ = ("linked", "node", "text")
 
-    def __init__(self, text: str, linked: float, path: tuple):
-        self.text, self.linked, self.path = text, linked, path
+    def __init__(self, text: str, linked: float, node: Node | None):
+        self.text, self.linked, self.node = text, linked, node
 
 
 def _own(tag: str, attrs: str) -> tuple[str, ...]:
@@ -59,28 +74,46 @@ def _own(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _pairs(page: str, tag: str) -> dict[int, int]:
+    """Where each element of a tag that is closed begins, and where its closing tag ends."""
+    out: dict[int, int] = {}
+    stack: list[int] = []
+    for m in _ENDS[tag].finditer(page):
+        if not m[1]:
+            stack.append(m.start())
+        elif stack:
+            out[stack.pop()] = m.end()
+    return out
+
+
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order; tags of inline elements and comments don't end a block."""
+    """Text blocks in page order; tags of inline elements and comments don't end a block.
+
+    Hidden elements and form controls have no text. One that is never closed is passed over as a tag,
+    but script, style, title, iframe and textarea run to the page's end then. The work grows with the
+    page's length, however deeply its elements are nested.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
+    held: Counter[str] = Counter()  # features of the open elements, and the tags of these
     parts: list[str] = []
-    links: list[int] = []
-    linked = depth = 0
+    closing: dict[str, dict[int, int]] = {}
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, min(1.0, linked / len(text)), tuple(stack)))
+                out.append(Block(text, min(1.0, linked / len(text)), stack[-1] if stack else None))
             parts.clear()
         linked = 0
 
     def pop_to(k: int) -> None:
-        nonlocal depth
-        if any(t not in INLINE for t, _ in stack[k:]):
+        if any(x.tag not in INLINE for x in stack[k:]):
             flush()
-        depth -= sum(t == "a" for t, _ in stack[k:])
+        for x in stack[k:]:
+            held.subtract((*x.fresh, x.tag))
         del stack[k:]
 
     at, end = 0, len(page)
@@ -89,7 +122,7 @@ def blocks(page: str) -> list[Block]:
         i = end if i < 0 else i
         if i > at:
             parts.append(page[at:i])
-            linked += (i - at) * (depth > 0)
+            linked += (i - at) * (held["a"] > 0)
         if i == end:
             break
         if page.startswith("<!--", i):
@@ -110,54 +143,58 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
+            if held[tag] > 0:
+                pop_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
+            continue
+        if tag in RAW:
+            shut = _SHUT[tag].search(page, at)
+            at = shut.end() if shut else end
             continue
         if tag in HIDDEN:
             if not m[3].endswith("/"):
-                shut = _SHUT[tag].search(page, at)
-                at = shut.end() if shut else end
+                if tag not in closing:
+                    closing[tag] = _pairs(page, tag)
+                at = max(at, closing[tag].get(i, at))
             continue
         if tag == "br":
             parts.append(" ")
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and held["p"] > 0:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
+                if stack[k].tag == "p":
                     pop_to(k)
                     break
-                if stack[k][0] not in INLINE:
+                if stack[k].tag not in INLINE:
                     break
-        if tag in ITEMS:
+        ends = ("td", "th", "tr") if tag == "tr" else ("dt", "dd") if tag in ("dt", "dd") else (tag,)
+        if tag in ITEMS and any(held[x] > 0 for x in ends):
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ITEMS[tag]:
+                if stack[k].tag in ITEMS[tag]:
                     break
-                if stack[k][0] == tag or (tag == "tr" and stack[k][0] in ("td", "th")) or (tag in ("dt", "dd") and stack[k][0] in ("dt", "dd")):
+                if stack[k].tag in ends:
                     pop_to(k)
                     break
         if tag not in INLINE:
             flush()
         if tag in VOID or m[3].endswith("/"):
             continue
-        stack.append((tag, _own(tag, m[3])))
-        depth += tag == "a"
+        own = _own(tag, m[3])
+        fresh = tuple(f for f in dict.fromkeys(own) if not held[f])
+        stack.append(Node(tag, own, stack[-1] if stack else None, fresh))
+        held.update((*fresh, tag))
     flush()
     return out
 
 
-def features(page: list[Block]) -> list[set[str]]:
-    """Names of the features that hold for each block."""
+def text_features(page: list[Block]) -> list[set[str]]:
+    """Names of the features that hold for each block by its text, place and nearest elements."""
     out = []
     n = len(page)
     for i, b in enumerate(page):
         own = {"bias"}
-        for _, names in b.path:
-            own.update(names)
-        tag = next((t for t, _ in reversed(b.path) if t not in INLINE), "none")
+        tag = b.node.top if b.node else "none"
         own.add("tag:" + tag)
-        own.update("near:" + f for f in next((f for t, f in reversed(b.path) if len(f) > 1 or t in SECTIONS), ()))
+        own.update("near:" + f for f in (b.node.near if b.node else ()))
         text = b.text
         words = text.split()
         size = min(8, int(math.log2(1 + len(words))))
@@ -178,6 +215,17 @@ def features(page: list[Block]) -> list[set[str]]:
     return out
 
 
+def features(page: list[Block]) -> list[set[str]]:
+    """Names of all features that hold for each block, those of its ancestors too."""
+    out = text_features(page)
+    for own, b in zip(out, page, strict=True):
+        node = b.node
+        while node:
+            own.update(node.fresh)
+            node = node.parent
+    return out
+
+
 class Chain:
     """Linear-chain CRF with labels 0 (other) and 1 (article)."""
 
@@ -189,6 +237,20 @@ class Chain:
         w = self.w
         return [sum(w.get(f, 0.0) for f in own) for own in page]
 
+    def scores(self, page: list[Block]) -> list[float]:
+        """Emissions of the blocks of one page; what ancestors add is summed once for each element."""
+        w, out = self.w, self.emissions(text_features(page))
+        for i, b in enumerate(page):
+            node, path = b.node, []
+            while node and node.score is None:
+                path.append(node)
+                node = node.parent
+            above = node.score if node else 0.0
+            for node in reversed(path):
+                above = node.score = above + sum(w.get(f, 0.0) for f in node.fresh)
+            out[i] += above
+        return out
+
     def viterbi(self, scores: list[float]) -> list[int]:
         if not scores:
             return []
@@ -372,7 +434,7 @@ def trained(n: int = 500) -> Chain:
 
 def main_text(page: str | None, chain: Chain) -> str:
     found = blocks(page or "")
-    keep = chain.viterbi(chain.emissions(features(found)))
+    keep = chain.viterbi(chain.scores(found))
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
@@ -381,7 +443,8 @@ def extract(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
     newlines, and ``n_chars``, its code points.
 
     Null or empty html, and pages without an article, give an empty text. Columns named text or
-    n_chars are replaced. Row by row, whole pages, no shuffle.
+    n_chars are replaced. Repeated rows give equal rows, an empty table an empty result. Row by row,
+    whole pages, no shuffle.
     """
     sent = Sent(pages.sparkSession, chain or trained())
     pages = pages.drop("text", "n_chars")
