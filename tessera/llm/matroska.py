@@ -270,7 +270,8 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 def encode_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text (null: empty) as a Matroska file. Row by row, no shuffle.
 
-    Extra columns are ignored; repeated rows and null ids pass as they are.
+    Extra columns are ignored; repeated rows and null ids pass as they are, equal texts give equal files;
+    an empty table gives an empty result.
     """
 
     def run(batches):
@@ -297,7 +298,7 @@ def packet_table(media: DataFrame) -> DataFrame:
                     if data is None:
                         raise ValueError("no file")
                     rows = [(i, n, c, t, at, key, a, b, None) for n, (c, t, at, key, a, b) in enumerate(read(data)["packets"])]
-                except ValueError as e:
+                except (ValueError, struct.error) as e:
                     rows = [(i, None, None, None, None, None, None, None, str(e))]
                 for k in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[k : k + 10_000]], schema=arrow)
@@ -321,15 +322,26 @@ def features(data: bytes) -> tuple[bytes, str]:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests and features of each stored file, from its bytes alone."""
+    """Digests and features of each stored file (doc_id, n_bytes, media), from its bytes alone.
+
+    A null file has nulls in all columns made here but ``feature``, a malformed one only its own size and
+    digest; ``feature`` says ``error=`` and what is wrong then. Null ids and repeated rows pass as they
+    are, extra columns are ignored, an empty table gives an empty result.
+    """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches):
         for batch in batches:
             rows = []
             for data in batch.column("media").to_pylist():
-                pcm, feature = features(data)
-                rows.append((len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+                stored = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                try:
+                    if data is None:
+                        raise ValueError("no file")
+                    pcm, feature = features(data)
+                    rows.append((len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-64:]), *stored, feature))
+                except (ValueError, struct.error) as e:
+                    rows.append((None, None, None, *stored, f"error={e}"))
             own = list(zip(*rows, strict=True)) if rows else [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(v, k) for v, k in zip(own, kinds, strict=True))], names)

@@ -135,7 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Factorisa
     """Train on at most ``rows`` labelled documents: the first of each of ``rows`` hash cells.
 
     ``docs`` has doc_id, text, n_chars; ``labels`` has doc_id, quality (0 or 1). Null labels and ids
-    teach nothing; a doc_id with both labels counts as 0. With no labels every score is 0.5.
+    teach nothing; a doc_id with both labels counts as 0; rows that repeat a doc_id teach each. With no
+    labels or documents nothing is learned, and scores are those of the initial weights. The driver
+    receives the rows' features: a row has at most BUCKETS + 13 of 8 bytes each, however long its text.
     """
     at = F.xxhash64("doc_id")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
@@ -153,8 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Factorisa
     model = FactorisationMachine()
     if got.num_rows:
         got = got.sort_by("doc_id")
-        rows_ = [(np.array(a, np.int64), np.array(b, np.float32), q) for a, b, q in zip(got.column("number").to_pylist(), got.column("value").to_pylist(), got.column("quality").to_pylist(), strict=True)]
-        model.fit(rows_)
+        number, value = (got.column(c).combine_chunks() for c in ("number", "value"))
+        cut, number, value = number.offsets.to_numpy(), number.values.to_numpy(), value.values.to_numpy()
+        model.fit([(number[a:b], value[a:b], q) for a, b, q in zip(cut[:-1], cut[1:], got.column("quality").to_pylist(), strict=True)])
     return model
 
 
@@ -162,7 +165,8 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
     """``docs`` (text, n_chars, any columns) with ``score`` in (0, 1) and ``predicted``.
 
     Null text is scored as empty text, null n_chars has a bin of its own. Columns named score or
-    predicted are replaced. Row by row, no shuffle.
+    predicted are replaced; repeated rows get equal results, an empty table gives an empty result. Row
+    by row, no shuffle.
     """
     sent = Sent(docs.sparkSession, model)
     docs = docs.drop("score", "predicted").withColumn("n_chars", F.col("n_chars").cast("long"))

@@ -1,4 +1,6 @@
+import hashlib
 import struct
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -65,3 +67,28 @@ def test_tables(spark):
     bad = m.packet_table(spark.createDataFrame([(1, b"xx"), (2, None)], "doc_id long, media binary")).collect()
     assert all(r.error and r.packet is None for r in bad)
     assert m.media_features(m.encode_media(df.limit(0))).collect() == []
+
+
+def test_every_returned_column(spark):
+    texts = [None, "", "abc", "x" * 64, "é" * 70_000]
+    out = {r.doc_id: r for r in m.media_features(m.encode_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, text in enumerate(texts):
+        body = (text or "").encode()
+        payload = body + bytes(max(1, -(-len(body) // 64)) * 64 - len(body))
+        data, r = m.write_pcm(payload), out[i]
+        counts = [payload.count(bytes([b])) for b in range(256)]
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(body), len(payload), len(data))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(data).hexdigest()
+        assert r.tail_crc32 == zlib.crc32(payload[-64:]) & 0xFFFFFFFF
+        feature = dict(x.split("=") for x in r.feature.split(";"))
+        assert int(feature["packets"]) == -(-len(payload) // m.FRAME) and feature["cues"] == feature["cued"] == feature["clusters"]
+        assert abs(float(feature["mean"]) - sum(b * n for b, n in enumerate(counts)) / len(payload)) < 1e-4
+    assert (out[0].n_bytes, out[0].payload_sha256, out[0].feature) == (out[1].n_bytes, out[1].payload_sha256, out[1].feature)
+
+
+def test_null_and_malformed_media(spark):
+    rows = [(1, 3, None), (2, 4, b"RIFF"), (None, None, m.write_pcm(bytes(64)))]
+    out = {r.doc_id: r for r in m.media_features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert out[1].feature.startswith("error=") and out[1].media_bytes is None and out[1].payload_sha256 is None
+    assert out[2].feature.startswith("error=") and out[2].media_bytes == 4 and out[2].payload_bytes is None
+    assert out[None].payload_bytes == 64

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tessera.llm import quality as q
 from tessera.llm.common import raw, strings
@@ -37,6 +38,17 @@ def test_held_out_accuracy_and_all_rows(spark):
     assert sum(r.predicted for r in got if r.quality) / sum(r.quality for r in got) > 0.99
 
 
+def test_held_out_labels_are_no_input(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    crc = F.crc32(F.col("doc_id").cast("string")) % 5
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.withColumn("quality", F.when(crc == 0, 1 - F.col("quality")).otherwise(F.col("quality"))).write.parquet(f"{tmp_path}/labels.parquet")
+    one, other = ({r.doc_id: r for r in q.op6_quality(spark, x).collect()} for x in (d, str(tmp_path)))
+    assert one == other and len({r.score for r in one.values()}) > 100
+    assert {r.doc_id for r in one.values() if r.held_out} == {r.doc_id for r in docs.where(crc == 0).collect()}
+
+
 def test_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (3, None)], "doc_id long, quality int")
     rows = [(1, "good text here", 14, "a"), (2, "BAD!! TEXT!!", 12, "b"), (3, None, None, None), (None, "", 0, "c"), (1, "good text here", 14, "a"), (4, "w " * 200_000, 5, "d")]
