@@ -1,4 +1,4 @@
-"""tessera: a Spark-first data-mining and training-data engine."""
+"""tessera: analytics and corpus operators on Spark."""
 
 import sys
 

@@ -1,10 +1,10 @@
 """Command line: ``python -m tessera.cli COMMAND ARG...``; each command reads files and writes a result.
 
     reviews     REVIEWS OUT [YEAR]                  summary with top-10 users and businesses
-    partitions  REVIEWS OUT N                       rows by partition, as read and by business
-    cities      REVIEWS BUSINESSES OUT              mean stars by city, best first
+    partitions  REVIEWS OUT N                       rows by partition and seconds of a top 10, as read and by business
+    cities      REVIEWS BUSINESSES OUT [OUT_TIMES]  mean stars by city, best first; seconds of two ways to the best ten
     itemsets    CASE SUPPORT BASKETS OUT            frequent itemsets; case 1: users' items, 2: items' users
-    shopping    MORE_THAN SUPPORT TRANSACTIONS OUT  itemsets of transactions with more than so many products
+    shopping    MORE_THAN SUPPORT TRANSACTIONS OUT [STRICT]  itemsets of transactions with more than so many products
     similar     RATINGS OUT [LEAST]                 similar businesses by MinHash
     cf          TRAIN TEST OUT                      item-based predictions
     model       FOLDER TEST OUT                     boosted trees on user and business features
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cluster, graph, itemsets, recommend, similarity, sketches, stats
+from .functions.ids import dense_ids
 from .session import get_session
 from .sources import readers, writers
 
@@ -48,18 +49,28 @@ def reviews(spark, path, out, year=2018):
 
 
 def partitions(spark, path, out, n):
-    r = _reviews(spark, path)
-    own = stats.partition_report(r).withColumn("kind", F.lit("default")).unionByName(stats.partition_report(stats.repartitioned(r, int(n), "item")).withColumn("kind", F.lit("customized")))
-    writers.json_object(own.groupBy("kind").agg(F.count("*").alias("n_partition"), F.sort_array(F.collect_list("n_items")).alias("n_items")), out)
+    r = _reviews(spark, path).select("item")
+    plans = {"default": r, "customized": stats.repartitioned(r, int(n), "item")}
+    own = [stats.partition_report(df).withColumn("kind", F.lit(kind)) for kind, df in plans.items()]
+    took = [(kind, stats.seconds(lambda df=df: stats.top_k(df, "item").collect())) for kind, df in plans.items()]
+    own = own[0].unionByName(own[1]).groupBy("kind").agg(F.count("*").alias("n_partition"), F.sort_array(F.collect_list("n_items")).alias("n_items"))
+    writers.json_object(own.join(spark.createDataFrame(took, "kind string, exe_time double"), "kind"), out)
 
 
-def cities(spark, path, businesses, out):
+def cities(spark, path, businesses, out, times=None):
     own = readers.json_lines(spark, businesses, readers.BUSINESS).select(F.col("business_id").alias("item"), "city")
-    writers.csv(stats.city_average(_reviews(spark, path), own).orderBy(F.desc("stars"), "city"), out)
+    means = stats.city_average(_reviews(spark, path), own)
+    writers.csv(means.orderBy(F.desc("stars"), "city"), out)
+    if times:  # a full sort, of which ten rows are read, against a top ten that each partition cuts first
+        whole = means.orderBy(F.desc("stars"), "city").withColumn("n", F.monotonically_increasing_id())
+        m1 = stats.seconds(lambda: next(whole.toLocalIterator(), None))
+        m2 = stats.seconds(lambda: stats.best_cities(means).collect())
+        reason = "m1 sorts all cities by ranges, in two passes; m2 keeps ten rows of each partition and merges those."
+        writers.json_object(spark.createDataFrame([(m1, m2, reason)], "m1 double, m2 double, reason string"), times)
 
 
-def _report(baskets: DataFrame, support: int, out: str, blank: bool = False) -> None:
-    writers.text(writers.itemset_lines(itemsets.report(itemsets.apriori(baskets, support)), blank), out)
+def _report(baskets: DataFrame, support: int, out: str, blank: bool = False, strict: bool = False) -> None:
+    writers.text(writers.itemset_lines(itemsets.report(itemsets.apriori(baskets, support, strict=strict)), blank), out)
 
 
 def basket_file(spark, case, support, path, out):
@@ -67,9 +78,9 @@ def basket_file(spark, case, support, path, out):
     _report(itemsets.transposed(b) if str(case) == "2" else b, int(support), out)
 
 
-def shopping(spark, more, support, path, out):
+def shopping(spark, more, support, path, out, strict=""):
     b = readers.transactions(spark, path).select(F.col("tx").alias("basket"), F.col("product").alias("item")).distinct()
-    _report(itemsets.larger_than(b, int(more)), int(support), out, blank=True)
+    _report(itemsets.larger_than(b, int(more)), int(support), out, blank=True, strict=bool(strict))
 
 
 def _ratings(spark, path):
@@ -113,12 +124,10 @@ def _graph(spark, threshold, path):
     """Edges between users as whole numbers, and the names of the numbers."""
     p = readers.csv(spark, path, readers.BASKET).select("user_id", F.col("business_id").alias("item")).distinct()
     edges = graph.build(p.withColumnRenamed("user_id", "user"), int(threshold))
-    names = graph.vertices(edges).select(F.col("vertex").alias("name")).orderBy("name").collect()
-    return edges, {r.name: i for i, r in enumerate(names)}
+    return edges, dense_ids(graph.vertices(edges).withColumnRenamed("vertex", "name"), "name")
 
 
-def _numbered(spark, edges, names):
-    n = spark.createDataFrame(sorted((v, k) for k, v in names.items()), "id long, name string")
+def _numbered(edges, n):
     a, b = n.select(F.col("id").alias("a"), F.col("name").alias("u")), n.select(F.col("id").alias("b"), F.col("name").alias("v"))
     return n, edges.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -129,12 +138,12 @@ def _communities(labels: DataFrame, n: DataFrame, label: str, out: str) -> None:
 
 
 def labels(spark, threshold, path, out):
-    n, e = _numbered(spark, *_graph(spark, threshold, path))
+    n, e = _numbered(*_graph(spark, threshold, path))
     _communities(graph.label_propagation(e), n, "label", out)
 
 
 def divide(spark, threshold, path, out_edges, out):
-    n, e = _numbered(spark, *_graph(spark, threshold, path))
+    n, e = _numbered(*_graph(spark, threshold, path))
     a, b = n.select(F.col("id").alias("u"), F.col("name").alias("nu")), n.select(F.col("id").alias("v"), F.col("name").alias("nv"))
     scored = graph.betweenness(e).join(a, "u").join(b, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"), "betweenness")
     writers.text(writers.betweenness_lines(scored), out_edges)
@@ -142,8 +151,7 @@ def divide(spark, threshold, path, out_edges, out):
 
 
 def _stream(spark, path, size, batches):
-    ids = readers.text(spark, path).select(F.trim("value").alias("user_id")).distinct()
-    ids = spark.createDataFrame([(i, r.user_id) for i, r in enumerate(ids.orderBy("user_id").collect())], "pos long, user_id string")
+    ids = dense_ids(readers.text(spark, path).select(F.trim("value").alias("user_id")), "user_id", "pos")
     return readers.simulated_draws(ids, int(size), int(batches)).select("seq", "batch", F.col("user_id"), F.xxhash64("user_id").alias("user"))
 
 
@@ -174,7 +182,8 @@ def main(args: list[str]) -> int:
     if not args or args[0] not in COMMANDS:
         print(__doc__)
         return 2
-    COMMANDS[args[0]](get_session("tessera " + args[0]), *args[1:])
+    spark = get_session("tessera " + args[0])
+    print(f"Duration: {stats.seconds(lambda: COMMANDS[args[0]](spark, *args[1:])):.2f}")
     return 0
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (tests) a local folder."""
+    """``spark.checkpoint.dir`` of the session; only where it is unset a local folder, which one machine
+    alone can use: a cluster without the setting is refused."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all nodes of {spark.sparkContext.master} share")
         found = getattr(spark, "_tessera_dir", None)
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="tessera-")

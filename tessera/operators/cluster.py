@@ -34,12 +34,14 @@ def distance(f: Column, mean: Column, dev: Column) -> Column:
 
 
 def nearest(points: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(idx, cluster, distance) of the nearest cluster, the smallest of equals. Clusters are tens of
-    rows (their number is a parameter of the algorithm), so they go to every task."""
-    c = clusters.select("cluster", "mean", "dev")
-    each = points.select("idx", "f").crossJoin(F.broadcast(c)).select("idx", "cluster", distance(F.col("f"), F.col("mean"), F.col("dev")).alias("distance"))
-    best = F.min(F.struct("distance", "cluster"))
-    return each.groupBy("idx").agg(best.alias("b")).select("idx", F.col("b.cluster").alias("cluster"), F.col("b.distance").alias("distance"))
+    """(idx, cluster, distance) of the nearest cluster, the smallest of equals; no row without clusters.
+
+    Clusters are tens of rows (their number is a parameter of the algorithm): they are one array beside
+    each point, whose row is all that its nearest cluster takes."""
+    all_ = clusters.agg(F.collect_list(F.struct("cluster", "mean", "dev")).alias("all"))
+    each = points.select("idx", "f").crossJoin(F.broadcast(all_))  # one row
+    best = F.array_min(F.transform("all", lambda c: F.struct(distance(F.col("f"), c["mean"], c["dev"]).alias("distance"), c["cluster"].alias("cluster"))))
+    return each.select("idx", best.alias("b")).where("b is not null").select("idx", F.col("b.cluster").alias("cluster"), F.col("b.distance").alias("distance"))
 
 
 def cluster_distances(clusters: DataFrame) -> DataFrame:
@@ -163,6 +165,9 @@ def bfr(points: DataFrame, k: int, rounds: int = 5, spread: int = 5, factor: flo
                 if near[0] < reach:
                     ds[near[1]].add(cs.pop(c))
                     moved[c] = near[1]
+        for c in moved:  # a cluster that joined one which then joined another
+            while moved[c] in moved:
+                moved[c] = moved[moved[c]]
         if moved:
             table = spark.createDataFrame(sorted(moved.items()), "cluster long, to long")
             joined = labels.join(F.broadcast(table), "cluster", "left")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.storage import stored
 
@@ -22,11 +23,15 @@ def larger_than(baskets: DataFrame, k: int) -> DataFrame:
     return baskets.join(keep, "basket", "left_semi")
 
 
-def son_candidates(baskets: DataFrame, support: int, chunks: int = 10) -> DataFrame:
+def son_candidates(baskets: DataFrame, support: int, chunks: int = 10, strict: bool = False) -> DataFrame:
     """Items that reach ceil(support / chunks) in at least one chunk of baskets. Every frequent item is
-    among them: counts below the share in every chunk sum to less than the support."""
-    least = -(-support // chunks)
-    chunk = F.pmod(F.col("basket").cast("long"), F.lit(chunks))
+    among them: counts below the share in every chunk sum to less than the support. ``strict`` asks for
+    more than that share, which may lose frequent items that are spread evenly.
+
+    A whole number's chunk is its remainder, any other key's that of its hash."""
+    least = -(-support // chunks) + strict
+    whole = isinstance(baskets.schema["basket"].dataType, T.IntegralType)
+    chunk = F.pmod(F.col("basket").cast("long") if whole else F.xxhash64("basket"), F.lit(chunks))
     return baskets.groupBy(chunk.alias("chunk"), "item").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("item").distinct()
 
 
@@ -57,14 +62,16 @@ def count_candidates(baskets: DataFrame, occurrences: DataFrame, cands: DataFram
     return frequent, grown.join(frequent.select("items"), "items", "left_semi")
 
 
-def apriori(baskets: DataFrame, support: int, most: int | None = None, prune: str = "all_subsets") -> DataFrame:
+def apriori(baskets: DataFrame, support: int, most: int | None = None, prune: str = "all_subsets", chunks: int = 10, strict: bool = False) -> DataFrame:
     """(size, kind, items, n): ``candidate`` rows (n null) and ``frequent`` rows of all levels.
 
-    Each level is a table in the shared folder; the driver only sees whether one is empty.
+    Candidates of size 1 are those of the first pass over ``chunks`` (``son_candidates``). Each level is
+    a table in the shared folder; the driver only sees whether one is empty.
     """
-    baskets = baskets.select("basket", F.col("item").cast("string").alias("item")).distinct()
-    level = stored(frequent_items(baskets, support), "level")
-    first = baskets.select(F.array("item").alias("items")).distinct()
+    baskets = stored(baskets.select("basket", F.col("item").cast("string").alias("item")).distinct(), "baskets")
+    found = stored(son_candidates(baskets, support, chunks, strict), "first")
+    level = stored(frequent_items(baskets.join(found, "item", "left_semi"), support), "level")
+    first = found.select(F.array("item").alias("items"))
     rows = lambda df, k, kind, n: df.select(F.lit(k).alias("size"), F.lit(kind).alias("kind"), "items", n)
     none = F.lit(None).cast("long").alias("n")
     out = rows(first, 1, "candidate", none).union(rows(level, 1, "frequent", F.col("n")))

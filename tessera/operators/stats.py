@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def seconds(run: Callable[[], object]) -> float:
+    """Wall time of an action."""
+    began = time.perf_counter()
+    run()
+    return time.perf_counter() - began
+
+
 def summary(reviews: DataFrame, year: int) -> DataFrame:
     """One row: reviews, reviews of a year, users and items, in one pass."""
     return reviews.agg(
