@@ -123,8 +123,9 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE):
     return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(bounds)), bounds
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a multilinear form over its bytes, then a finaliser."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0x5EED) -> np.ndarray:
+    """A 64-bit hash of each word: a multilinear form over its bytes, then a finaliser. Hashes of two
+    seeds are independent."""
     if not len(starts):
         return np.zeros(0, U64)
     lengths = ends - starts
@@ -132,7 +133,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     before = np.cumsum(lengths) - lengths
     place = np.arange(total) - np.repeat(before, lengths)
     longest = int(lengths.max())
-    by = _COEFFICIENTS if longest <= len(_COEFFICIENTS) else stream(0x5EED, longest)
+    by = _COEFFICIENTS if longest <= len(_COEFFICIENTS) and seed == 0x5EED else stream(seed, longest)
     inside = data[place + np.repeat(starts, lengths)].astype(U64)
     sums = np.add.reduceat((inside + U64(1)) * by[place], before)
     return mix(sums + lengths.astype(U64) * U64(0x9E3779B97F4A7C15))

@@ -77,10 +77,15 @@ class Chunk:
         full, held = np.cumsum(full), np.cumsum(held)
         m = max(0, len(self.hashes) - run + 1)
         at = np.flatnonzero((full[run : run + m] - full[:m] == run) & (held[run : run + m] > held[:m]))
+        # the second half comes of other hashes of the words, so no two words that collide deceive both
+        edge = np.bincount(at, minlength=len(self.hashes) + 1) - np.bincount(at + self.n, minlength=len(self.hashes) + 1) if len(at) else np.zeros(1, np.int64)
+        used = np.flatnonzero(np.cumsum(edge))
+        other = np.zeros(len(self.hashes), U64)
+        other[used] = word_hashes(self.data, self.starts[used], self.ends[used], seed=0x07E5)
         high, low = np.zeros(len(at), U64), np.zeros(len(at), U64)
         for x, y, j in zip(stream(0x413, self.n), stream(0x414, self.n), range(self.n), strict=True):
             high += self.hashes[at + j] * x
-            low += (self.hashes[at + j] ^ U64(0x5555)) * y
+            low += other[at + j] * y
         return at, mix(high), mix(low)
 
     def asked(self, told: list[dict]):
