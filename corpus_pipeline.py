@@ -23,7 +23,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents get the language that the text is in; those without any (``und``) go."""
+    """Documents get the language that the text is in; those without any (``und``) go: null, empty
+    and letterless texts. Null ids and sources stay, repeated rows go or stay alike, extra columns are
+    left out, ties go to the first language by name; an empty table, or one that teaches no language,
+    gives an empty one."""
     known = docs.drop("lang_pred", "score")
     out = identify(known, fit(known)).where("lang_pred <> 'und'")
     return out.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
@@ -48,18 +51,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of PASSAGE_WORDS words or more go from all documents but the first that has them."""
+    """Passages of PASSAGE_WORDS words or more go from all documents but the first that has them.
+
+    Every row stays, a null text as null, an empty one as empty. Rows with a null doc_id lose nothing;
+    rows that repeat a doc_id take nothing from each other. Extra columns are left out.
+    """
     out = substring_dedup(docs.select(COLUMNS), min_words=PASSAGE_WORDS)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, edited or not, go."""
+    """Documents that hold a benchmark item, edited or not, go.
+
+    Null and empty texts hold none and stay, as do all rows if the benchmark is empty or has null texts
+    alone; repeated rows go or stay alike, whatever their doc_id. Extra columns are left out.
+    """
     return decontaminate(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).where("not contaminated").select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a row for each time that a document is drawn, with its position."""
+    """The mix of sources: a row for each time that a document is drawn, with its position.
+
+    A null source is the source ''; documents without words have nothing to draw; repeated rows are
+    drawn each; an empty table gives an empty mix.
+    """
     return mix(docs)
 
 
