@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -7,32 +8,53 @@ from tessera.functions.hashing import PRIME, coefficients, folded, trailing_zero
 from tessera.operators import cluster, graph, recommend, similarity, sketches
 from tessera.sources import writers
 
-TOY = [("E", "D"), ("E", "F"), ("D", "B"), ("D", "G"), ("D", "F"), ("F", "G"), ("C", "A"), ("B", "C"), ("B", "A")]
+#: Two groups of four that 3-10 joins, and a tail 12-20.
+EDGES = [(0, 1), (0, 2), (0, 3), (1, 2), (2, 3), (3, 10), (10, 11), (10, 12), (10, 13), (11, 13), (12, 13), (12, 20)]
 
 
 @pytest.fixture(scope="module")
-def toy(spark):
-    return spark.createDataFrame([(min(ord(a), ord(b)), max(ord(a), ord(b))) for a, b in TOY], "u long, v long")
+def small(spark):
+    return spark.createDataFrame(EDGES, "u long, v long")
 
 
-def named(rows):
-    return {chr(r.u) + chr(r.v): r.betweenness for r in rows}
+def shortest_paths(a, b):
+    """All shortest paths, by trying every simple path."""
+    near = {x: [v if u == x else u for u, v in EDGES if x in (u, v)] for e in EDGES for x in e}
+    found, paths = [], [[a]]
+    while paths and not found:
+        paths = [[*p, x] for p in paths for x in near[p[-1]] if x not in p]
+        found = [p for p in paths if p[-1] == b]
+    return found
 
 
-def test_betweenness_both_ways(toy):
-    want = {"BD": 12, "AB": 5, "BC": 5, "DE": 4.5, "DG": 4.5, "DF": 4, "EF": 1.5, "FG": 1.5, "AC": 1}
-    assert named(graph.betweenness(toy).collect()) == pytest.approx(want)
-    assert named(graph._betweenness_by_joins(toy).collect()) == pytest.approx(want)
-    assert writers.betweenness_lines(graph.betweenness(toy)).head().value == "('66', '68'), 12.0"
+def brute_betweenness():
+    out = dict.fromkeys(EDGES, 0.0)
+    nodes = sorted({x for e in EDGES for x in e})
+    for a, b in itertools.combinations(nodes, 2):
+        paths = shortest_paths(a, b)
+        for p in paths:
+            for e in itertools.pairwise(p):
+                out[min(e), max(e)] += 1 / len(paths)
+    return out
 
 
-def test_division_and_modularity(toy):
-    want = {"65,66,67", "68,69,70,71"}
-    parts = graph.divided(toy)
+def test_betweenness_both_ways(small):
+    want = brute_betweenness()
+    for rows in (graph.betweenness(small).collect(), graph._betweenness_by_joins(small).collect()):
+        assert {(r.u, r.v): r.betweenness for r in rows} == pytest.approx(want)
+    assert writers.betweenness_lines(graph.betweenness(small)).head().value == "('3', '10'), 20.0"
+
+
+def test_division_and_modularity(small):
+    want = {"0,1,2,3", "10,11,12,13,20"}
+    parts = graph.divided(small)
     assert {r.members for r in graph.communities(parts, "component").collect()} == want
-    assert {r.members for r in graph.communities(graph.divided_by_joins(toy), "component").collect()} == want
-    assert graph.modularity(toy, parts).head()[0] == pytest.approx(0.25926, abs=1e-5)
-    assert [r.value for r in writers.community_lines(graph.communities(parts, "component")).collect()][0] == "'65', '66', '67'"
+    assert {r.members for r in graph.communities(graph.divided_by_joins(small), "component").collect()} == want
+    of = {r.vertex: r.component for r in parts.collect()}
+    degree, m = {x: sum(x in e for e in EDGES) for x in of}, len(EDGES)
+    q = sum((((i, j) in EDGES) - degree[i] * degree[j] / (2 * m)) / (2 * m) for i, j in itertools.combinations(sorted(of), 2) if of[i] == of[j])
+    assert graph.modularity(small, parts).head()[0] == pytest.approx(q)
+    assert [r.value for r in writers.community_lines(graph.communities(parts, "component")).collect()][0] == "'0', '1', '2', '3'"
 
 
 def test_components_and_labels(spark):
@@ -111,6 +133,30 @@ def test_bfr_separates_clusters(spark):
     assert seen == sorted(seen) and seen[-1] == 301
 
 
+def test_bfr_reports_what_it_labels_when_merges_chain(spark, monkeypatch):
+    """Every compression cluster is within reach of every other, and of the discard clusters at the end."""
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) * 40 ** rng.random(), rng.gauss(0, 1) * 40 ** rng.random()]) for i in range(300)]
+    monkeypatch.setattr(cluster._Summary, "far", lambda self, other: 0.0)
+    report, out = cluster.bfr(spark.createDataFrame(rows, "idx long, f array<double>"), 2, rounds=2)
+    last = report.orderBy("round").collect()[-1]
+    assert last.n_ds == out.where("cluster <> -1").count() and last.n_cs == 0 and last.n_ds + last.n_rs == 300
+
+
+def test_nearest_matches_a_loop(spark):
+    rng = random.Random(9)
+    pts = [(i, [rng.uniform(-9, 9) for _ in range(3)]) for i in range(60)]
+    cls = [(c, [rng.uniform(-9, 9) for _ in range(3)], [rng.choice((0.0, 1.0, 2.5)) for _ in range(3)]) for c in (4, 2, 9)]
+    clusters = spark.createDataFrame(cls, "cluster long, mean array<double>, dev array<double>")
+    points = spark.createDataFrame(pts, "idx long, f array<double>")
+    far = lambda f, m, s: sum(((a - b) / c) ** 2 for a, b, c in zip(f, m, s, strict=True) if c) ** 0.5
+    want = {i: min((far(f, m, s), c) for c, m, s in cls) for i, f in pts}
+    got = {r.idx: (r.distance, r.cluster) for r in cluster.nearest(points, clusters).collect()}
+    assert {i: c for i, (_, c) in got.items()} == {i: c for i, (_, c) in want.items()}
+    assert all(got[i][0] == pytest.approx(want[i][0]) for i in want)
+    assert cluster.nearest(points, clusters.limit(0)).collect() == []
+
+
 def test_streams(spark, tmp_path):
     from tessera.streaming import sketches as live
 

@@ -1,9 +1,12 @@
 import itertools
 import random
+from types import SimpleNamespace
 
 import duckdb
 import pytest
 
+from tessera.functions.ids import dense_ids
+from tessera.functions.storage import shared_dir
 from tessera.operators import itemsets, stats
 from tessera.sources import readers, writers
 
@@ -45,6 +48,34 @@ def test_son_candidates_hold_every_frequent_item(spark):
     assert {r["items"][0] for r in itemsets.frequent_items(df, 45).collect()} <= son
 
 
+def test_string_baskets(spark):
+    rng = random.Random(5)
+    rows = sorted({(f"11/{rng.randint(1, 28)}/00-{rng.randint(1, 9)}", rng.choice("abcdefg")) for _ in range(300)})
+    df = spark.createDataFrame(rows, "basket string, item string")
+    got = {tuple(r["items"]): r.n for r in itemsets.apriori(df, 6).where("kind = 'frequent'").collect()}
+    assert got == brute(rows, 6) and max(map(len, got)) > 1
+    loose, strict = ({r["item"] for r in itemsets.son_candidates(df, 30, strict=x).collect()} for x in (False, True))
+    assert strict <= loose and {r["items"][0] for r in itemsets.frequent_items(df, 30).collect()} <= loose
+
+
+def test_dense_ids(spark):
+    rng = random.Random(2)
+    names = [f"n{rng.randint(0, 900)}" for _ in range(2000)]
+    got = dense_ids(spark.createDataFrame([(n,) for n in names], "name string").repartition(5), "name").collect()
+    assert {r.name: r.id for r in got} == {n: i for i, n in enumerate(sorted(set(names)))} and len(got) == len(set(names))
+    assert dense_ids(spark.createDataFrame([], "name string"), "name").collect() == []
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    conf = lambda folder: SimpleNamespace(get=lambda key, default: folder)
+    session = lambda master, folder=None: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf(folder)))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
+        assert shared_dir(session(master, "hdfs:///shared")) == "hdfs:///shared"
+    assert shared_dir(session("local[4]")).startswith("file:")
+
+
 def test_report_lines(spark):
     rows = [(1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "c")]
     own = itemsets.report(itemsets.apriori(spark.createDataFrame(rows, "basket long, item string"), 2))
