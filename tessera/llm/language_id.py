@@ -19,15 +19,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Sent, crc_mod, raw, steps, strings, table
 
 #: Training bytes of a language (its automaton has less than twice as many states, so 16 bits hold
-#: a state), the documents they come from at most, and the characters taken from each; of those, a
-#: document gives its share of the bytes at most, which cuts only pieces of over 468 bytes.
-TRAIN_BYTES, TRAIN_DOCS, PIECE = 30_000, 64, 400
+#: a state), the documents they come from at most, and the characters taken from each at most.
+TRAIN_BYTES, TRAIN_DOCS, PIECE = 30_000, 256, 400
 SEGMENT = 256
 FAIL = 65535
 PAD, UNSEEN = 0, 1
@@ -177,18 +177,22 @@ def fit(docs: DataFrame, cells: int = TRAIN_DOCS) -> LanguageModel:
     """Learn from ``docs`` (doc_id, text, lang); rows with a null among these teach nothing.
 
     The sample is one document of each of ``cells`` hash cells of every language, so its size is
-    bounded whatever the corpus is; from each it takes PIECE characters around the middle. Repeated
-    rows count once. An empty table teaches nothing.
+    bounded whatever the corpus is. TRAIN_BYTES is shared out evenly among a language's documents, and
+    each gives so many characters from around its middle, PIECE at most; only of letters of several
+    bytes is a part not used then. Repeated rows count once. An empty table teaches nothing.
     """
     at = F.xxhash64("doc_id")
     known = docs.where("doc_id is not null and lang is not null and text is not null")
-    picks = known.groupBy("lang", F.pmod(at, F.lit(cells)).alias("cell")).agg(F.min(at).alias("h")).select(F.col("lang").alias("l"), "h")
+    picks = known.groupBy("lang", F.pmod(at, F.lit(cells)).alias("cell")).agg(F.min(at).alias("h"))
+    share = F.floor(F.lit(TRAIN_BYTES) / F.count("*").over(W.partitionBy("lang"))).cast("int") - 1  # a space goes after each
+    picks = picks.select(F.col("lang").alias("l"), "h", share.alias("share"))
     middle = F.greatest(F.lit(1), (F.length("text") - PIECE) / 2).cast("int")
     rows = known.select("lang", at.alias("at"), F.substring("text", middle, F.lit(PIECE)).alias("text"))
-    found = rows.join(picks, (rows.at == picks.h) & (rows.lang == picks.l)).dropDuplicates(["lang", "at"]).select("lang", "at", "text").collect()
+    found = rows.join(picks, (rows.at == picks.h) & (rows.lang == picks.l)).dropDuplicates(["lang", "at"])
+    found = found.select("lang", "at", "share", F.substring("text", F.lit(1), F.col("share")).alias("text")).collect()
     texts: dict[str, bytes] = {}
     for r in sorted(found, key=lambda r: (r.lang, r.at)):
-        texts[r.lang] = texts.get(r.lang, b"") + coded(pa.array([r.text]))[0].tobytes()[: TRAIN_BYTES // cells - 1] + b" "
+        texts[r.lang] = texts.get(r.lang, b"") + coded(pa.array([r.text]))[0].tobytes()[: r.share] + b" "
     return LanguageModel(texts)
 
 
