@@ -26,48 +26,56 @@ from .common import stored, table
 ENTROPY_SHARE, MAX_EPOCHS, BLOCK_DOCS, SUPER = 0.95, 4.0, 256, 1024
 #: Sources up to this number are broadcast; more are joined by a shuffle.
 SMALL = 100_000
+#: Steps of bisection that one job answers.
+AHEAD = 5
 
 
-def bisect(ok: Callable[[float], bool], low: float, high: float, steps: int = 40) -> float:
-    """The end of the part of [low, high] on which ``ok`` holds; it holds at ``low``."""
-    if ok(high):
+def bisect(ok: Callable[[list[float]], list[bool]], low: float, high: float, rounds: int = 8) -> float:
+    """The end of the part of [low, high] on which ``ok`` holds; it holds at ``low``.
+
+    ``ok`` judges many points at once: each round asks for all midpoints that AHEAD steps can reach.
+    """
+    if ok([high])[0]:
         return high
-    for _ in range(steps):
-        mid = (low + high) / 2
-        low, high = (mid, high) if ok(mid) else (low, mid)
+    cells = 1 << AHEAD
+    for _ in range(rounds):
+        at = [low + (high - low) * j / cells for j in range(cells + 1)]
+        yes = [True, *ok(at[1:-1]), False]
+        lo, hi = 0, cells
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (mid, hi) if yes[mid] else (lo, mid)
+        low, high = at[lo], at[hi]
     return low
 
 
 def exponent(sources: DataFrame, entropy_share: float, max_epochs: float, budget: float | None) -> tuple[float, float, float]:
     """(exponent, sum of the powered shares, all tokens) for ``sources`` (source, tokens > 0).
 
-    Each step is one aggregate over the table of sources: no source reaches the driver.
+    One aggregate over the table of sources answers AHEAD steps: no source reaches the driver.
     """
     total, n = sources.agg(F.sum("tokens"), F.count("*")).head()
     if not n:
         return 1.0, 1.0, 0.0
-    p = F.col("tokens") / F.lit(float(total))
     spend = float(budget or total)
 
-    def stats(a: float):
-        w = F.pow(p, F.lit(a))
-        r = sources.agg(F.sum(w).alias("z"), F.sum(w * F.log(w)).alias("h"), F.max(w / F.col("tokens")).alias("m")).head()
-        return r.z, r.h / r.z, r.m
-
-    def entropy(a: float) -> float:
-        z, h, _ = stats(a)
-        return math.log(z) - h
-
-    def repeats(a: float) -> float:
-        z, _, m = stats(a)
-        return m / z * spend
+    def stats(points: list[float]) -> list[tuple[float, float, float]]:
+        """(sum of the powered shares, entropy, most epochs of a source) at each exponent."""
+        p, w = F.col("tokens") / F.lit(float(total)), F.col("w")
+        each = sources.select("tokens", F.explode(F.array(*map(F.lit, points))).alias("a")).withColumn("w", F.pow(p, F.col("a")))
+        found = each.groupBy("a").agg(F.sum(w).alias("z"), F.sum(w * F.log(w)).alias("h"), F.max(w / F.col("tokens")).alias("m")).collect()
+        by = {r.a: (r.z, math.log(r.z) - r.h / r.z, r.m / r.z * spend) for r in found}
+        return [by[a] for a in points]
 
     # entropy falls as the exponent grows; it is largest (log n) at 0
-    a = bisect(lambda x: entropy(x) >= entropy_share * math.log(n), 0.0, 1.0) if n > 1 else 1.0
+    a = bisect(lambda xs: [h >= entropy_share * math.log(n) for _, h, _ in stats(xs)], 0.0, 1.0) if n > 1 else 1.0
     # the repetition of the scarcest source falls as the exponent grows towards 1
-    if repeats(a) > max_epochs:
-        a = 1 - bisect(lambda x: repeats(1 - x) <= max_epochs, 0.0, 1 - a) if repeats(1.0) <= max_epochs else 1.0
-    return a, stats(a)[0], float(total)
+    (z, _, now), (_, _, least) = stats([a])[0], stats([1.0])[0]
+    if now > max_epochs:
+        few = lambda xs: [m <= max_epochs for _, _, m in stats([1 - x for x in xs])]
+        a = 1 - bisect(few, 0.0, 1 - a) if least <= max_epochs else 1.0
+        z = stats([a])[0][0]
+    return a, z, float(total)
 
 
 def _joined(big: DataFrame, small: DataFrame, on: list[str], rows: int) -> DataFrame:
@@ -87,7 +95,9 @@ def mix(
     (its source's), ``position`` (0 to 1: reading by it keeps the weights throughout).
 
     ``budget`` is the mix's tokens (default: the corpus's); a source gets weight x budget and takes
-    whole documents until its budget is used, so it exceeds it by one document at most. ``tokens``
+    whole documents until its budget is used, so it exceeds it by one document at most. A budget of
+    more than ``max_epochs`` corpora can't keep the limit: the weights are then the corpus's own, which
+    repeat the scarcest source least. ``tokens``
     defaults to the words of ``text``. A null source is a source of its own, called ''. Documents
     without tokens (null or blank text) can't fill a budget and are left out. Repeated rows are
     drawn each; a null doc_id is drawn like any other. Extra columns are ignored. An empty table

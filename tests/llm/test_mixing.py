@@ -59,6 +59,25 @@ def test_weights_budgets_and_epochs(spark, share, most, budget):
             assert order(0) != order(1)
 
 
+@pytest.mark.parametrize("end", [0.0, 0.1, 0.3141592653589793, 0.999])
+def test_bisection_asks_for_many_points_at_once(end):
+    rounds = []
+
+    def ok(points):
+        rounds.append(len(points))
+        return [x <= end for x in points]
+
+    assert abs(mx.bisect(ok, 0.0, 1.0) - end) < 1e-11 and len(rounds) == 9
+    assert mx.bisect(lambda points: [True for _ in points], 0.0, 1.0) == 1.0
+
+
+def test_a_budget_beyond_the_limit_takes_the_corpus_weights(spark):
+    rows, docs = corpus(spark, {"big": 90, "small": 10})
+    tokens, _, _ = weights(rows, 0.9, 4)
+    got = mx.mix(docs, 0.9, max_epochs=2, budget=5 * sum(tokens.values())).select("source", "weight").distinct().collect()
+    assert all(abs(r.weight - tokens[r.source] / sum(tokens.values())) < 1e-9 for r in got)
+
+
 def test_position_keeps_the_weights_throughout(spark):
     _, docs = corpus(spark, {"big": 2000, "small": 500})
     got = sorted(mx.mix(docs, 0.97, 4).collect(), key=lambda r: r.position)
