@@ -27,6 +27,8 @@ from .common import U64, mix, raw, stream, strings, table, windows, word_hashes,
 
 #: Text bytes of a chunk, and those whose hashes meet in one bucket.
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+#: Text bytes whose chunks or buckets share a task.
+TASK_BYTES = 32 << 20
 SENT = "__chunk long, bucket long, keys binary, flags binary"
 TOLD = "__chunk long, bucket long, phase int, some binary, anchored binary"
 ASKED = "__chunk long, bucket long, high binary, low binary, ids binary"
@@ -194,6 +196,12 @@ def _cleaned(docs: pa.Table, gone: np.ndarray, c: Chunk, names: list[str], schem
     return pa.table([pa.array(own[x], schema.field(x).type) if x in own else docs.column(x).combine_chunks() for x in names], schema=schema)
 
 
+def _apart(df: DataFrame, key: str, size: int) -> DataFrame:
+    """``df`` dealt by ``key`` over a task for each TASK_BYTES, where the session's partitions are fewer."""
+    tasks = math.ceil(size / TASK_BYTES)
+    return df.repartition(tasks, key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def substring_dedup(docs: DataFrame, min_words: int = 50, block_words: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with each repeated run of words cut out.
 
@@ -214,7 +222,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, block_words: int | Non
     docs = docs.drop("n_words", "n_removed", "removed").withColumn("doc_id", F.col("doc_id").cast("long"))
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     chunks, buckets = math.ceil(size / CHUNK_BYTES) or 1, math.ceil(size / BUCKET_BYTES) or 1
-    dealt = docs.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    dealt = _apart(docs.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))), "__chunk", size)
     names = [c for c in docs.columns] + ["n_words", "n_removed", "removed"]
     fields = [f for f in docs.schema.fields] + [
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
@@ -238,8 +246,9 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, block_words: int | Non
         gone = c.covered([x for x in rows if x["phase"] == 1], [x for x in rows if x["phase"] == 2])
         return _cleaned(t, gone, c, names, arrow)
 
-    first = dealt.groupBy("__chunk").applyInArrow(send, SENT).groupBy("bucket").applyInArrow(_meet_blocks, TOLD)
-    asked = dealt.groupBy("__chunk").cogroup(first.groupBy("__chunk")).applyInArrow(ask, ASKED)
+    sent = _apart(dealt.groupBy("__chunk").applyInArrow(send, SENT), "bucket", size)
+    first = sent.groupBy("bucket").applyInArrow(_meet_blocks, TOLD)
+    asked = _apart(dealt.groupBy("__chunk").cogroup(first.groupBy("__chunk")).applyInArrow(ask, ASKED), "bucket", size)
     second = asked.groupBy("bucket").applyInArrow(_meet_runs, TOLD)
     told = first.unionByName(second)
     return dealt.groupBy("__chunk").cogroup(told.groupBy("__chunk")).applyInArrow(clean, out_schema)

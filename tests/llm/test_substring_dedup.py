@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tessera.llm import substring_dedup as sd
 from tessera.llm.substring_dedup import substring_dedup
 
 SCHEMA = "doc_id long, text string"
@@ -48,6 +49,18 @@ def test_a_passage_in_very_many_documents(spark):
     assert sum(r[2] == 0 for r in out) == 1 and sum(r[2] == 20 for r in out) == 2999
 
 
+def test_more_tasks_than_the_session_has_partitions(spark, monkeypatch):
+    rng = random.Random(5)
+    passages = [" ".join(f"{c}{rng.randint(0, 9)}" for _ in range(20)) for c in "abcd"]
+    rows = [(i, " ".join(rng.choice(passages) if rng.random() < 0.3 else f"own{i}x{j}" for j in range(30))) for i in range(200)]
+    want = brute(rows, 13)
+    for name, size in (("CHUNK_BYTES", 2000), ("BUCKET_BYTES", 3000), ("TASK_BYTES", 4000)):
+        monkeypatch.setattr(sd, name, size)
+    assert got(spark, rows, 13) == want
+    out = substring_dedup(spark.createDataFrame(rows, SCHEMA), 13)
+    assert out.rdd.getNumPartitions() > 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_nulls_blanks_and_the_text_that_is_left(spark):
     a = " ".join(f"w{i}" for i in range(13))
     rows = [(1, f"start {a} end"), (2, f"  one\n{a}\n\ttwo  three\n"), (None, a), (3, None), (4, ""), (5, " \n"), (6, "é ß")]
