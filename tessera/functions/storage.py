@@ -23,14 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def run_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which goes when the session ends."""
+    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts lineage and survives lost executors. The folder goes when the session ends.
+    This cuts lineage and survives lost executors.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
+    path = run_path(df.sparkSession, name)
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -108,6 +108,18 @@ def hybrid(cf: DataFrame, model: DataFrame, alpha: float = 0.1) -> DataFrame:
     return cf.join(m, ["user", "item"]).select("user", "item", (F.lit(alpha) * F.col("prediction") + F.lit(1 - alpha) * F.col("m")).alias("prediction"))
 
 
+def support_hybrid(cf: DataFrame, model: DataFrame, used: DataFrame, counts: DataFrame) -> DataFrame:
+    """Blend by support, for pairs that both predict: collaborative filtering weighs as many as the
+    neighbours that it had (``used``: a row each of user, item), the model log(1 + n) for n ratings of
+    the item (``counts``: item, n). Without either the model alone counts."""
+    near = used.groupBy("user", "item").agg(F.count("*").alias("near"))
+    out = cf.join(model.select("user", "item", F.col("prediction").alias("m")), ["user", "item"])
+    out = out.join(near, ["user", "item"], "left").join(counts.select("item", F.log1p("n").alias("own")), "item", "left")
+    near, own = F.coalesce("near", F.lit(0)), F.coalesce("own", F.lit(0.0))
+    blend = (near * F.col("prediction") + own * F.col("m")) / (near + own)
+    return out.select("user", "item", F.when(near + own > 0, blend).otherwise(F.col("m")).alias("prediction"))
+
+
 def errors(test: DataFrame, predictions: DataFrame) -> DataFrame:
     truth = test.select("user", "item", F.col("stars").alias("truth"))
     return truth.join(predictions, ["user", "item"]).select("user", "item", F.abs(F.col("prediction") - F.col("truth")).alias("error"))

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import PRIME, folded
+from ..functions.ids import dense_ids
+from ..functions.storage import run_path
 from ..operators import cluster, graph, itemsets, recommend, similarity, sketches, stats
-from ..sources import views
+from ..sources import readers, views, writers
 from ..sources.readers import parquet
 from .oracles import SQL as SQL
 
@@ -76,6 +79,68 @@ def cf(s: SparkSession, d: str) -> DataFrame:
     return recommend.cf_predictions(*views.split(s, d))
 
 
+def means(s: SparkSession, d: str) -> DataFrame:
+    """A model in closed form: the mean of a test pair's two averages, 3 where neither is known."""
+    train, test = views.split(s, d)
+    u = recommend.averages(train, "user").select("user", F.col("avg_stars").alias("u"))
+    i = recommend.averages(train, "item").select("item", F.col("avg_stars").alias("i"))
+    known = test.select("user", "item").distinct().join(u, "user", "left").join(i, "item", "left")
+    return known.select("user", "item", ((F.coalesce("u", "i", F.lit(3.0)) + F.coalesce("i", "u", F.lit(3.0))) / 2).alias("prediction"))
+
+
+def supported(s: SparkSession, d: str) -> DataFrame:
+    train, test = views.split(s, d)
+    used = recommend.neighbours(train, test, recommend.pearson(train))
+    return recommend.support_hybrid(cf(s, d), means(s, d), used, recommend.averages(train, "item"))
+
+
+def csv_file(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers through a CSV file with a header; names are quoted text."""
+    path = run_path(s, "suppliers")
+    name = F.concat(F.lit('a "quoted", name of '), "s_name")
+    writers.csv(parquet(s, d, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("id"), name.alias("name"), "s_nationkey"), path)
+    return readers.csv(s, path, "id string, name string, nation bigint")
+
+
+def json_file(s: SparkSession, d: str) -> DataFrame:
+    path = run_path(s, "events")
+    writers.json_object(parquet(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), path)
+    return readers.json_lines(s, path, "event_id bigint, k bigint")
+
+
+def text_file(s: SparkSession, d: str) -> DataFrame:
+    """Words of the lines of a text file, spread over four tasks at least."""
+    path = run_path(s, "names")
+    writers.text(parquet(s, d, "part").select(F.regexp_replace("p_name", "[\r\n]", " ").alias("value")), path)
+    words = readers.text(s, path, 4).select(F.explode(F.split("value", " ")).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def transactions_file(s: SparkSession, d: str) -> DataFrame:
+    """Transaction keys from a CSV file by position; customers and products have leading zeros there."""
+    path = run_path(s, "transactions")
+    o, li = parquet(s, d, "orders"), parquet(s, d, "lineitem")
+    rows = li.join(o, li.l_orderkey == o.o_orderkey)
+    padded = lambda c: F.lpad(F.col(c).cast("string"), 9, "0")
+    own = {0: F.date_format("o_orderdate", "M/d/yyyy"), 1: padded("o_custkey"), 5: padded("l_partkey")}
+    writers.csv(rows.select(*[own.get(i, F.lit("x")).alias(f"c{i}") for i in range(9)]), path)
+    return readers.transactions(s, path).groupBy("tx").agg(F.count_distinct("product").alias("n_items"))
+
+
+def points_file(s: SparkSession, d: str) -> DataFrame:
+    path = run_path(s, "points")
+    p = views.points(s, d)
+    p.select(F.concat_ws(",", "idx", "label", F.array_join(F.transform("f", lambda x: x.cast("string")), ",")).alias("value")).write.text(path)
+    total = F.aggregate("f", F.lit(0.0), lambda a, x: a + x)
+    return readers.points(s, path).select("idx", F.col("cluster").cast("long").alias("cluster"), F.size("f").cast("long").alias("dims"), F.round(total, 4).alias("total"))
+
+
+def key_partitions(s: SparkSession, d: str) -> DataFrame:
+    """Rows of each item and the partitions that hold them, after dealing by item."""
+    dealt = stats.repartitioned(views.reviews(s, d).select("item"), 5, "item").withColumn("at", F.spark_partition_id())
+    return dealt.groupBy("item").agg(F.count("*").alias("n_items"), F.count_distinct("at").alias("partitions"))
+
+
 def edges(s: SparkSession, d: str) -> DataFrame:
     return graph.build(views.purchases(s, d), THRESHOLD)
 
@@ -97,6 +162,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "city_top10": lambda s, d: rounded(stats.best_cities(stats.city_average(views.reviews(s, d), views.cities(s, d))), "stars"),
     "partition_report": lambda s, d: stats.chunk_report(views.reviews(s, d), "item", 10),
     "json_props": lambda s, d: parquet(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")),
+    "csv_file": csv_file,
+    "json_file": json_file,
+    "text_file": text_file,
+    "transactions_file": transactions_file,
+    "points_file": points_file,
+    "key_partitions": key_partitions,
+    "folded_names": lambda s, d: parquet(s, d, "customer").select("c_custkey", folded(F.col("c_name"), PRIME).alias("h")),
+    "dense_ids": lambda s, d: dense_ids(parquet(s, d, "customer"), "c_name"),
     "tx_baskets": tx_baskets,
     "basket_case1": lambda s, d: _baskets(views.basket_items(s, d)),
     "basket_case2": lambda s, d: _transposed(views.basket_items(s, d)),
@@ -122,18 +195,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feature_matrix": lambda s, d: rounded(matrices(s, d)[1], "user_count", "user_stars", "item_count", "item_stars"),
     "model_predictions": lambda s, d: rounded(model(s, d), "prediction"),
     "hybrid_predictions": lambda s, d: rounded(recommend.hybrid(cf(s, d), model(s, d)), "prediction"),
+    "means_blend": lambda s, d: rounded(recommend.hybrid(cf(s, d), means(s, d)), "prediction"),
+    "support_blend": lambda s, d: rounded(supported(s, d), "prediction"),
     "rmse": lambda s, d: rounded(recommend.rmse(views.split(s, d)[1], cf(s, d)), "rmse"),
     "error_histogram": lambda s, d: recommend.error_histogram(views.split(s, d)[1], cf(s, d)),
     "bloom_fpr": lambda s, d: sketches.bloom_fpr(views.stream(s, d, BATCH), bits=9973),
     "fm_estimate": lambda s, d: sketches.fm_estimate(views.stream(s, d, BATCH)),
     "exact_distinct": lambda s, d: sketches.exact_distinct(views.stream(s, d, BATCH)),
     "reservoir_sample": lambda s, d: sketches.reservoir(views.stream(s, d, BATCH), 100, SLOTS),
+    "reservoir_table": lambda s, d: writers.reservoir_rows(sketches.reservoir(views.stream(s, d, BATCH), 100, SLOTS), SLOTS),
     "window_distinct": lambda s, d: sketches.window_distinct(parquet(s, d, "events")),
     "graph_edges": edges,
     "graph_vertices": lambda s, d: graph.vertices(edges(s, d)),
     "connected_components": lambda s, d: graph.connected_components(edges(s, d)),
     "label_propagation": lambda s, d: graph.label_propagation(edges(s, d)),
     "communities": lambda s, d: graph.communities(graph.connected_components(edges(s, d)), "component"),
+    "community_lines": lambda s, d: writers.community_lines(graph.communities(graph.connected_components(edges(s, d)), "component")),
     "edge_betweenness": lambda s, d: rounded(graph.betweenness(edges(s, d)), "betweenness"),
     "modularity": lambda s, d: rounded(graph.modularity(e := edges(s, d), graph.connected_components(e)), "modularity"),
     "gn_communities": lambda s, d: graph.communities(graph.divided(edges(s, d)), "component"),

@@ -147,6 +147,11 @@ def _reservoir(size: int, slots: list[int]) -> str:
 SELECT n.batch, n.n, s.slot::BIGINT AS slot, (SELECT arg_max("user", seq) FROM q WHERE q.slot = s.slot AND q.seq < n.n) AS "user" FROM n, s"""
 
 
+MEANS = (
+    CF
+    + """, mm AS (SELECT "user", item, (coalesce(user_avg, item_avg, 3.0) + coalesce(item_avg, user_avg, 3.0)) / 2 AS m FROM known)"""
+)
+
 SQL = {
     "review_counts": f'WITH {REVIEWS} SELECT count(*) AS n_review, count(*) FILTER (year(date) = 1998) AS n_review_year, count(DISTINCT "user") AS n_user, count(DISTINCT item) AS n_item FROM reviews',
     "reviews_in_year": f"WITH {REVIEWS} SELECT count(*) AS n FROM reviews WHERE year(date) = 1998",
@@ -158,6 +163,14 @@ SQL = {
     "city_top10": f"WITH {REVIEWS}, c AS (SELECT n_name AS city, sum(stars) / count(*) AS stars FROM reviews JOIN supplier ON item = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name) SELECT city, round(stars, 6) AS stars FROM (SELECT * FROM c ORDER BY stars DESC, city LIMIT 10)",
     "partition_report": f"WITH {REVIEWS} SELECT item % 10 AS chunk, count(*) AS n_items FROM reviews GROUP BY ALL",
     "json_props": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events",
+    "csv_file": """SELECT lpad(s_suppkey::VARCHAR, 9, '0') AS id, 'a "quoted", name of ' || s_name AS name, s_nationkey AS nation FROM supplier""",
+    "json_file": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events",
+    "text_file": "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY word",
+    "transactions_file": "SELECT strftime(o_orderdate, '%-m/%-d/%y') || '-' || o_custkey AS tx, count(DISTINCT l_partkey) AS n_items FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",
+    "points_file": f"WITH {POINTS} SELECT idx, any_value(label) AS cluster, count(*) AS dims, round(sum(x), 4) AS total FROM pt GROUP BY idx",
+    "key_partitions": f"WITH {REVIEWS} SELECT item, count(*) AS n_items, 1::BIGINT AS partitions FROM reviews GROUP BY item",
+    "folded_names": f"SELECT c_custkey, list_reduce(list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (h * 256 + c) % {P}) AS h FROM customer",
+    "dense_ids": "SELECT row_number() OVER (ORDER BY c_name) - 1 AS id, c_name FROM (SELECT DISTINCT c_name FROM customer)",
     "tx_baskets": "SELECT strftime(o_orderdate, '%-m/%-d/%y') || '-' || o_custkey AS tx, count(DISTINCT l_partkey) AS n_items FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",
     "basket_case1": f"WITH {BASKETS} SELECT basket, string_agg(item, ',' ORDER BY item) AS items FROM b GROUP BY basket",
     "basket_case2": f"WITH {BASKETS} SELECT item AS basket, count(*) AS n_items, min(basket) AS first, max(basket) AS last FROM b GROUP BY item",
@@ -186,18 +199,25 @@ SELECT a, b, round(x / (za.n + zb.n - x), 6) AS similarity FROM o JOIN z za ON z
 m AS (SELECT (SELECT avg(n) FROM ua) AS uc, (SELECT sum(user_avg) / count(*) FROM ua) AS us, (SELECT avg(n) FROM im) AS ic, (SELECT sum(item_avg) / count(*) FROM im) AS si)
 SELECT test."user", test.item, stars, round(coalesce(ua.n, uc)::DOUBLE, 6) AS user_count, round(coalesce(user_avg, us), 6) AS user_stars, round(coalesce(im.n, ic)::DOUBLE, 6) AS item_count,
   round(coalesce(item_avg, si), 6) AS item_stars, coalesce(price, 0) AS price_range FROM test LEFT JOIN ua USING ("user") LEFT JOIN im ON im.item = test.item, m""",
+    "means_blend": f'WITH {MEANS} SELECT "user", item, round(0.1::DOUBLE * prediction + 0.9::DOUBLE * m, 6) AS prediction FROM cf JOIN mm USING ("user", item)',
+    "support_blend": f"""WITH {MEANS}, nn AS (SELECT "user", item, count(*) AS near FROM top3 GROUP BY ALL)
+SELECT "user", item, round(CASE WHEN coalesce(near, 0) + coalesce(ln(1 + ia.n), 0) > 0
+  THEN (coalesce(near, 0) * prediction + coalesce(ln(1 + ia.n), 0) * m) / (coalesce(near, 0) + coalesce(ln(1 + ia.n), 0)) ELSE m END, 6) AS prediction
+FROM cf JOIN mm USING ("user", item) LEFT JOIN nn USING ("user", item) LEFT JOIN ia USING (item)""",
     "rmse": f"WITH {CF} SELECT round(sqrt(avg(error * error)), 6) AS rmse FROM errors",
     "error_histogram": f"WITH {CF} SELECT least(floor(error)::BIGINT, 4) AS level, count(*) AS n FROM errors GROUP BY ALL",
     "bloom_fpr": _bloom(9973),
     "fm_estimate": _fm(),
     "exact_distinct": f'WITH {STREAM} SELECT batch, count(DISTINCT "user") AS truth FROM st GROUP BY batch',
     "reservoir_sample": _reservoir(100, [0, 20, 40, 60, 80]),
+    "reservoir_table": "SELECT n AS seqnum, " + ", ".join(f'max("user") FILTER (slot = {i}) AS "{i}_id"' for i in [0, 20, 40, 60, 80]) + f" FROM ({_reservoir(100, [0, 20, 40, 60, 80])}) GROUP BY batch, n",
     "window_distinct": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS n_user FROM events GROUP BY ALL",
     "graph_edges": f"WITH {GRAPH} SELECT u, v, overlap FROM e",
     "graph_vertices": f"WITH {GRAPH} SELECT vertex FROM vs",
     "connected_components": f"WITH RECURSIVE {COMPS} SELECT vertex, component FROM cc",
     "label_propagation": _lpa(5),
     "communities": f"WITH RECURSIVE {COMPS} SELECT count(*) AS size, string_agg(vertex::VARCHAR, ',' ORDER BY vertex) AS members FROM cc GROUP BY component",
+    "community_lines": f"WITH RECURSIVE {COMPS} SELECT chr(39) || string_agg(vertex::VARCHAR, chr(39) || ', ' || chr(39) ORDER BY vertex) || chr(39) AS value FROM cc GROUP BY component",
     "edge_betweenness": _paths(),
     "modularity": f"""WITH RECURSIVE {COMPS}, k AS (SELECT u AS vertex, count(*) AS k FROM ee GROUP BY u), m AS (SELECT count(*) AS m FROM e),
 w AS (SELECT count(*) AS within FROM e JOIN cc a ON a.vertex = u JOIN cc b ON b.vertex = v WHERE a.component = b.component),

@@ -12,7 +12,8 @@ def json_object(df: DataFrame, path: str) -> None:
 
 
 def csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A header and rows; a quote within a quoted field is doubled, as ``readers.csv`` reads it."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def itemset_lines(report: DataFrame, blank: bool = False) -> DataFrame:

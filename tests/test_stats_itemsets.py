@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 from types import SimpleNamespace
 
@@ -7,7 +8,7 @@ import pytest
 
 from tessera.functions.ids import dense_ids
 from tessera.functions.storage import shared_dir
-from tessera.operators import itemsets, stats
+from tessera.operators import itemsets, recommend, stats
 from tessera.sources import readers, writers
 
 
@@ -117,3 +118,18 @@ def test_duckdb_agrees_on_catalog(spark):
         cols = sorted(got.columns)
         want = con.execute(f"select {', '.join(chr(34) + c + chr(34) for c in cols)} from ({SQL[name]})").fetchall()
         assert sorted(tuple(r) for r in got.select(cols).collect()) == sorted(want), name
+
+
+def test_csv_fields_with_quotes_and_commas_come_back(spark, tmp_path):
+    rows = [("007", 'a "b", c', 1), ("8", 'x "y"', None)]
+    writers.csv(spark.createDataFrame(rows, "id string, name string, n int"), str(tmp_path / "out"))
+    back = readers.csv(spark, str(tmp_path / "out"), "id string, name string, n int")
+    assert sorted(tuple(r) for r in back.collect()) == rows
+
+
+def test_support_weighs_the_two_predictions(spark):
+    pred = lambda v: spark.createDataFrame([(1, 1, v), (2, 2, v), (3, 3, v)], "user long, item long, prediction double")
+    used = spark.createDataFrame([(1, 1)] * 3 + [(2, 2)], "user long, item long")
+    counts = spark.createDataFrame([(1, 1)], "item long, n long")
+    got = {r.user: r.prediction for r in recommend.support_hybrid(pred(4.0), pred(2.0), used, counts).collect()}
+    assert abs(got[1] - (3 * 4 + math.log(2) * 2) / (3 + math.log(2))) < 1e-12 and (got[2], got[3]) == (4.0, 2.0)
