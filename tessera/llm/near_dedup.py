@@ -33,12 +33,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, U64, mix, raw, steps, stored, stream, table, windows, word_hashes, words
-from .components import components, merged
+from .components import components, hot_keys, hottest, joined, merged
 
 #: 40 bands of 5: a pair at similarity 0.8 shares no bucket with probability 1.3e-7.
 BANDS, ROWS = 40, 5
-#: Rows that meet one copy of a leader's set, and leaders with more rows than that which are broadcast.
-CELL, SMALL = 512, 100_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,42 +132,31 @@ def _sets(n: int):
     return run
 
 
-def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``pairs`` (a, b) with the cell of b that each row goes to, and all (b, cell): CELL rows meet in
-    a cell, so a hot b is copied instead of gathering its rows in one task."""
-    load = pairs.groupBy("b").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
-    hot = stored(load.where("cells > 1"), "hot")
-    hot = F.broadcast(hot) if hot.count() <= SMALL else hot
-    pairs = pairs.join(hot, "b", "left").withColumn("cell", F.coalesce(F.pmod(F.xxhash64("a"), F.col("cells")).cast("int"), F.lit(0))).drop("cells")
-    return pairs, load.select("b", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
-
-
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, more columns) with the shingles ga and gb of both."""
-    pairs, cells = _dealt(pairs)
-    cells = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")).join(cells.hint("merge"), "b")
+def _with_sets(pairs: DataFrame, sets: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``pairs`` (a, b, more columns) with the shingles ga and gb of both; ``hot`` are the keys b of many
+    pairs, whose sets are copied instead of gathering the pairs in one task."""
     pairs = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")).join(pairs.hint("merge"), "a")
-    return pairs.join(cells.hint("merge"), ["b", "cell"]).drop("cell")
+    return joined(pairs, sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), ["b"], hot, "a")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame | None) -> DataFrame:
     """``pairs`` (a, b) compared on full sets: ``c`` shared shingles, sizes ``n``, ``m`` and ``linked``."""
-    out = _with_sets(pairs, sets).select("a", "b", F.size("ga").cast("long").alias("n"), F.size("gb").cast("long").alias("m"), F.size(F.array_intersect("ga", "gb")).cast("long").alias("c"))
+    out = _with_sets(pairs, sets, hot).select("a", "b", F.size("ga").cast("long").alias("n"), F.size("gb").cast("long").alias("m"), F.size(F.array_intersect("ga", "gb")).cast("long").alias("c"))
     return out.withColumn("linked", F.col("c") * 100 >= (F.col("n") + F.col("m") - F.col("c")) * percent)
 
 
-def _certain(faced: DataFrame) -> DataFrame:
+def _certain(faced: DataFrame, hot: DataFrame | None) -> DataFrame:
     """(a, b) of step 2, for ``faced`` (leader, id, e, ...)."""
     least = faced.groupBy("leader").agg(F.min("e").alias("least"))
-    best = faced.join(least, "leader").where("e = least").groupBy("leader").agg(F.min("id").alias("best"), F.min("least").alias("least"))
-    return faced.join(best, "leader").where("id != best and e + least <= 0").select(F.col("id").alias("a"), F.col("best").alias("b"))
+    best = joined(faced, least, ["leader"], hot, "id").where("e = least").groupBy("leader").agg(F.min("id").alias("best"), F.min("least").alias("least"))
+    return joined(faced, best, ["leader"], hot, "id").where("id != best and e + least <= 0").select(F.col("id").alias("a"), F.col("best").alias("b"))
 
 
-def _rest(faced: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(faced: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, hot: DataFrame | None) -> DataFrame:
     """(a, b) that step 3 has to compare; ``faced`` has leader, id, n, d and e (times 100 + percent)."""
     named = comps.select(F.col("node").alias("id"), "component")
     homes = comps.select(F.col("node").alias("leader"), F.col("component").alias("home"))
-    all_ = faced.join(named, "id", "left").join(homes, "leader", "left")
+    all_ = joined(faced.join(named, "id", "left"), homes, ["leader"], hot, "id", "left")
     all_ = all_.select("leader", "id", "n", "d", "e", F.coalesce("component", "id").alias("comp"), F.coalesce("home", "leader").alias("home"))
     all_ = stored(all_, "faced")
     minor = F.col("comp") != F.col("home")
@@ -177,16 +164,17 @@ def _rest(faced: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) ->
     reach = F.col("e") + 2 * (100 - percent) * F.col("n")
     bounds = all_.groupBy("leader").agg(F.min("e").alias("any_e"), F.min(F.when(minor, F.col("e"))).alias("minor_e"), F.max(F.when(minor, reach)).alias("minor_reach"))
     bounds = bounds.where("minor_e is not null")
-    all_ = all_.join(bounds, "leader").where(minor | ((reach >= F.col("minor_e")) & (F.col("e") <= F.col("minor_reach"))))
+    all_ = joined(all_, bounds, ["leader"], hot, "id").where(minor | ((reach >= F.col("minor_e")) & (F.col("e") <= F.col("minor_reach"))))
     all_ = all_.withColumn("other_e", F.when(minor, F.col("any_e")).otherwise(F.col("minor_e"))).drop("any_e", "minor_e", "minor_reach")
 
-    both = _with_sets(all_.withColumnRenamed("id", "a").withColumnRenamed("leader", "b"), sets).withColumnRenamed("a", "id").withColumnRenamed("b", "leader")
+    as_b = hot.withColumnRenamed("leader", "b") if hot is not None else None
+    both = _with_sets(all_.withColumnRenamed("id", "a").withColumnRenamed("leader", "b"), sets, as_b).withColumnRenamed("a", "id").withColumnRenamed("b", "leader")
     apart = F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga"))
     spread = stored(both.select("leader", "id", "n", "d", "e", "comp", "home", "other_e", F.explode(apart).alias("el")), "apart")
     # elements that one component has alone come first in the order: they can't be what a pair shares
     often = spread.groupBy("leader", "el").agg(F.count("*").alias("often"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
     own = W.partitionBy("leader", "id")
-    spread = spread.join(often.hint("merge"), ["leader", "el"])
+    spread = joined(spread, often, ["leader", "el"], hot_keys(spread, "leader", "el"), "id")
     spread = spread.withColumn("at", F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "el")))
     need = lambda e: F.greatest(F.lit(1), F.ceil(e / (2 * (100 + percent))))
     spread = spread.where(F.col("at") <= F.col("d") - need(F.col("e") + F.col("other_e")) + 1)
@@ -223,15 +211,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     # members of buckets that hold two classes or more
     spread = classes.select("id", F.explode("keys").alias("key"))
-    met = spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = stored(spread.join(met.hint("merge"), "key"), "members")
+    met = stored(spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "met")
+    full = hottest(met, bands * classes.count(), "key")
+    members = stored(joined(spread, met, ["key"], full, "id"), "members")
     weight = stored(members.groupBy("id").agg(F.sum("c").alias("weight")), "weight")
     # the heaviest member leads, the smallest id of those; both maxima are plain numbers
     ranked = members.join(weight.hint("merge"), "id")
     top = ranked.groupBy("key").agg(F.max("weight").alias("weight"))
-    leaders = ranked.join(top, ["key", "weight"]).groupBy("key").agg(F.min("id").alias("leader"))
-    star = members.select("key", "id").join(leaders, "key").where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    top = top.withColumnRenamed("weight", "most")
+    leaders = joined(ranked, top, ["key"], full, "id").where("weight = most").groupBy("key").agg(F.min("id").alias("leader"))
+    star = joined(members.select("key", "id"), leaders, ["key"], full, "id").where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     star = stored(star, "star")
+    hot = hot_keys(star, "b")
 
     # a doc_id that repeats: its rows may be equal, or texts of several classes, which are linked then
     repeated = stored(own.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated")
@@ -243,26 +234,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     sets = sets.join(needed.hint("merge"), ["doc_id", *same]).select("id", "grams")
     sets = stored(sets.groupBy("id").agg(F.first("grams").alias("grams")) if repeats else sets, "sets")
 
-    compared = stored(_compared(star, sets, percent), "compared")
+    compared = stored(_compared(star, sets, percent, hot), "compared")
     apart = F.col("n") + F.col("m") - 2 * F.col("c")
     faced = compared.select(F.col("b").alias("leader"), F.col("a").alias("id"), "n", apart.alias("d"), ((100 + percent) * apart - (100 - percent) * F.col("n")).alias("e"))
-    links = compared.where("linked").select("a", "b").union(_certain(faced))
+    hot = hot.withColumnRenamed("b", "leader") if hot is not None else None
+    links = compared.where("linked").select("a", "b").union(_certain(faced, hot))
     if repeats:
         several = own.join(repeated, "doc_id", "left_semi").join(classes.select(*same, "id"), same).select("doc_id", "id").distinct()
         several = stored(several, "several")
         least = several.groupBy("doc_id").agg(F.min("id").alias("a"))
         links = links.union(several.join(least, "doc_id").where("id != a").select("a", F.col("id").alias("b")).distinct())
     comps = components(links)
-    rest = stored(_rest(faced, comps, sets, percent), "rest")
-    more = stored(_compared(rest, sets, percent).where("linked").select("a", "b"), "more")
+    rest = stored(_rest(faced, comps, sets, percent, hot), "rest")
+    more = stored(_compared(rest, sets, percent, hot_keys(rest, "b")).where("linked").select("a", "b"), "more")
     comps = merged(comps, more)
 
     # class of each row, by the smallest doc_id of its component
     named = classes.select(*same, "id", "doc_id").join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left")
     named = stored(named.select(*same, F.coalesce("component", "id").alias("component"), "doc_id"), "named")
     first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.drop("doc_id").join(first.hint("merge"), "component").select(*same, "component_id")
-    out = signed.select("doc_id", *same).join(named.hint("merge"), same, "left")
+    named = joined(named.drop("doc_id"), first, ["component"], hot_keys(named, "component"), "f1").select(*same, "component_id")
+    out = joined(signed.select("row", "doc_id", *same), named, same, hot_keys(signed, *same), "row", "left")
     component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -151,3 +151,26 @@ def test_a_large_group_of_near_copies_needs_few_comparisons(spark, monkeypatch):
     out = got(spark, [(i, " ".join(w)) for i, w in enumerate(texts)], 2)
     assert sorted((x[0], x[2]) for x in out) == [(i, int(r)) for i, r in enumerate(root)]
     assert 100 < len(set(root)) and asked[0] < 10 * n
+
+
+def test_hot_keys_are_dealt_over_cells(spark, monkeypatch):
+    """With cells of two rows every bucket, leader, hub, component and class of copies is dealt."""
+    from tessera.llm import components as module
+
+    monkeypatch.setattr(module, "CELL", 2)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [rng.choice(vocabulary) for _ in range(60)]
+    rows = [(i, " ".join(edited(base, 0.03, rng, vocabulary))) for i in range(40)]
+    rows += [(100 + i, " ".join(base)) for i in range(12)] + [(None, " ".join(base)), (200, "alone in the world of words"), (201, None)]
+    assert got(spark, rows, 2) == brute(rows, 2)
+
+
+def test_components_of_hubs_and_paths(spark, monkeypatch):
+    from tessera.llm import components as module
+
+    monkeypatch.setattr(module, "CELL", 2)
+    edges = [(7, i) for i in range(20, 60)] + [(i, i + 1) for i in range(100, 120)] + [(59, 100), (300, 301), (5, 5), (None, 3)]
+    made = {r.node: r.component for r in module.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert made == {i: 7 for i in [7, *range(20, 60), *range(100, 121)]} | {300: 300, 301: 300}
+    assert module.hot_keys(spark.createDataFrame([(1,)], "a long"), "a") is None
