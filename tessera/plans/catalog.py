@@ -65,52 +65,36 @@ def attributes(s: SparkSession, d: str) -> DataFrame:
     return parquet(s, d, "supplier").select(F.col("s_suppkey").alias("item"), F.create_map(F.lit("price_range"), price).alias("attributes"))
 
 
-def matrices(s: SparkSession, d: str, split: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    train, test = split or views.split(s, d)
+def matrices(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    train, test = views.split(s, d)
     users, items = recommend.user_features(train), recommend.item_features(train, attributes(s, d))
     return recommend.feature_matrix(train, users, items), recommend.feature_matrix(test, users, items)
 
 
-def model(s: SparkSession, d: str, split: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    return recommend.model_predictions(*matrices(s, d, split))
+def model(s: SparkSession, d: str) -> DataFrame:
+    return recommend.model_predictions(*matrices(s, d))
 
 
-def blended(s: SparkSession, d: str) -> DataFrame:
-    split = kept_split(s, d)
-    return recommend.hybrid(cf(*split), model(s, d, split))
-
-
-def cf(train: DataFrame, test: DataFrame) -> DataFrame:
-    return recommend.cf_predictions(train, test, top=recommend.nearest(train, test))
-
+def kept_users(s: SparkSession, d: str) -> DataFrame:
+    """``views.user_lists``, computed once for the steps that read it again."""
+    return stored(views.user_lists(s, d), "users", free=True)
 
-def scored(s: SparkSession, d: str, measure: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    train, test = kept_split(s, d)
-    return measure(test, cf(train, test))
 
+def predicted(s: SparkSession, d: str) -> DataFrame:
+    """Estimates of the distinct test pairs."""
+    return recommend.estimates(recommend.distinct_pairs(kept_users(s, d)))
 
-def means_blend(s: SparkSession, d: str) -> DataFrame:
-    train, test = kept_split(s, d)
-    return recommend.hybrid(cf(train, test), means(train, test))
 
+def errors(s: SparkSession, d: str) -> DataFrame:
+    return recommend.errors_of(recommend.estimates(kept_users(s, d)))
 
-def means(train: DataFrame, test: DataFrame) -> DataFrame:
-    """A model in closed form: the mean of a test pair's two averages, 3 where neither is known."""
-    u = recommend.averages(train, "user").select("user", F.col("avg_stars").alias("u"))
-    i = recommend.averages(train, "item").select("item", F.col("avg_stars").alias("i"))
-    known = test.select("user", "item").distinct().join(u, "user", "left").join(i, "item", "left")
-    return known.select("user", "item", ((F.coalesce("u", "i", F.lit(3.0)) + F.coalesce("i", "u", F.lit(3.0))) / 2).alias("prediction"))
 
-
-def kept_split(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """``views.split``, computed once for the steps that read it again."""
-    return tuple(stored(df, name) for df, name in zip(views.split(s, d), ("ratings", "test"), strict=True))
-
-
-def supported(s: SparkSession, d: str) -> DataFrame:
-    train, test = kept_split(s, d)
-    used = stored(recommend.nearest(train, test), "used")
-    return recommend.support_hybrid(recommend.cf_predictions(train, test, top=used), means(train, test), used, recommend.averages(train, "item"))
+def blended(s: SparkSession, d: str) -> DataFrame:
+    users = kept_users(s, d)
+    items = recommend.Items(users)
+    own = recommend.estimates(recommend.distinct_pairs(users), items=items)
+    train, test = recommend.rating_features(users, items, attributes(s, d), own)
+    return recommend.hybrid_of(recommend.modelled(train, test), F.col("prediction"))
 
 
 def csv_file(s: SparkSession, d: str) -> DataFrame:
@@ -206,18 +190,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "user_avg": lambda s, d: rounded(recommend.averages(views.split(s, d)[0], "user"), "avg_stars"),
     "item_avg": lambda s, d: rounded(recommend.averages(views.split(s, d)[0], "item"), "avg_stars"),
     "cold_start": lambda s, d: rounded(recommend.cold_start(*views.split(s, d)), "prediction"),
-    "pearson_pairs": lambda s, d: rounded(recommend.pearson(views.split(s, d)[0]), "similarity"),
-    "top3_neighbours": lambda s, d: rounded(recommend.nearest(*kept_split(s, d)).drop("rank"), "similarity"),
-    "cf_predictions": lambda s, d: rounded(cf(*kept_split(s, d)), "prediction"),
+    "pearson_pairs": lambda s, d: rounded(recommend.pearson_of(kept_users(s, d)), "similarity"),
+    "top3_neighbours": lambda s, d: rounded(recommend.nearest_of(kept_users(s, d)).drop("rank"), "similarity"),
+    "cf_predictions": lambda s, d: rounded(predicted(s, d).select("user", "item", F.col("cf").alias("prediction")), "prediction"),
     "user_features": lambda s, d: rounded(recommend.user_features(views.split(s, d)[0]), "user_stars"),
     "item_features": lambda s, d: rounded(recommend.item_features(views.split(s, d)[0], attributes(s, d)), "item_stars"),
     "feature_matrix": lambda s, d: rounded(matrices(s, d)[1], "user_count", "user_stars", "item_count", "item_stars"),
     "model_predictions": lambda s, d: rounded(model(s, d), "prediction"),
     "hybrid_predictions": lambda s, d: rounded(blended(s, d), "prediction"),
-    "means_blend": lambda s, d: rounded(means_blend(s, d), "prediction"),
-    "support_blend": lambda s, d: rounded(supported(s, d), "prediction"),
-    "rmse": lambda s, d: rounded(scored(s, d, recommend.rmse), "rmse"),
-    "error_histogram": lambda s, d: scored(s, d, recommend.error_histogram),
+    "means_blend": lambda s, d: rounded(recommend.hybrid_of(predicted(s, d), recommend.means_model()), "prediction"),
+    "support_blend": lambda s, d: rounded(recommend.support_hybrid_of(predicted(s, d), recommend.means_model()), "prediction"),
+    "rmse": lambda s, d: rounded(recommend.rmse_of(errors(s, d)), "rmse"),
+    "error_histogram": lambda s, d: recommend.histogram_of(errors(s, d)),
     "bloom_fpr": lambda s, d: sketches.bloom_fpr(views.stream(s, d, BATCH), bits=9973),
     "fm_estimate": lambda s, d: sketches.fm_estimate(views.stream(s, d, BATCH)),
     "exact_distinct": lambda s, d: sketches.exact_distinct(views.stream(s, d, BATCH)),

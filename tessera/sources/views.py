@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.recommend import grouped
 from .readers import parquet
 
 
@@ -17,7 +18,11 @@ def reviews(spark: SparkSession, d: str) -> DataFrame:
 
 def rated(reviews: DataFrame) -> DataFrame:
     """(user, item, stars): one whole-star rating a pair, the mean of its reviews rounded half up."""
-    return reviews.groupBy("user", "item").agg(F.floor(F.sum("stars") / F.count("*") + 0.5).cast("long").alias("stars"))
+    return reviews.groupBy("user", "item").agg(rating())
+
+
+def rating() -> Column:
+    return F.floor(F.sum("stars") / F.count("*") + 0.5).cast("long").alias("stars")
 
 
 def split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -32,6 +37,19 @@ def split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rated(r.where(~held)), test.union(cold)
 
 
+def user_lists(spark: SparkSession, d: str) -> DataFrame:
+    """(user, rated, asked): ``split`` with a user's ratings and test pairs as lists of (item, stars) in
+    one row; reviews are joined once and dealt by user once."""
+    rows = reviews(spark, d).select(F.greatest("user", -F.col("user") - 1).alias("home"), "item", "stars", (F.col("order") % 10 == 0).alias("held"), (F.col("user") < 0).alias("below"))
+    rows = rows.repartition("home").select("*", F.when(F.col("below"), -F.col("home") - 1).otherwise(F.col("home")).alias("user"))  # a user and the cold one made of it
+    item, part = F.col("item"), F.col("item") % 50
+    own = F.struct("user", "item", F.col("held").cast("int").alias("kind"))
+    cold = F.struct(F.when(part == 1, F.col("user")).otherwise(-F.col("user") - 1).alias("user"), F.when(part == 0, item).otherwise(-item - 1).alias("item"), (part + 2).cast("int").alias("kind"))
+    rows = rows.select("home", "stars", F.inline(F.when(F.col("held") & part.isin(0, 1, 2), F.array(own, cold)).otherwise(F.array(own))))
+    rows = rows.groupBy("home", "user", "item", "kind").agg(rating())
+    return grouped(rows.select("home", "user", "item", "stars", (F.col("kind") > 0).alias("asked")), "home")
+
+
 def cities(spark: SparkSession, d: str) -> DataFrame:
     """(item, city): the nation of a supplier."""
     s, n = parquet(spark, d, "supplier"), parquet(spark, d, "nation")

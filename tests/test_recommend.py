@@ -77,3 +77,25 @@ def test_queries_shuffle_no_pairs(spark, name):
     d = "/root/testdata/sf0.01"
     most, got = rows_written(spark, lambda: catalog.QUERIES[name](spark, d).collect())
     assert got and most <= 60_000  # lines of orders; pairs of a user's items are over a million
+
+
+def test_queries_deal_each_line_once_to_its_user(spark):
+    stages = lambda: spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))
+    before = {s.stageId() for s in stages()}
+    assert len(catalog.QUERIES["rmse"](spark, "/root/testdata/sf0.01").collect()) == 1
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    # lines and orders to their join, lines to their users, then lists only
+    assert sum(s.shuffleWriteRecords() for s in stages() if s.stageId() not in before) <= 60_000 + 15_000 + 60_000 + 30_000
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_estimates_with_nulls_and_items_beyond_the_driver(spark, people, small, monkeypatch):
+    monkeypatch.setattr(recommend, "SMALL_ITEMS", recommend.SMALL_ITEMS if small else 10)
+    monkeypatch.setattr(recommend, "BLOCK_ROWS", 300)
+    train, test = people
+    kinds = "user string, item string, stars long"
+    ratings = spark.createDataFrame([(*p, s) for p, s in train.items()] + [(None, "i001", 5), ("u001", None, 5)], kinds)
+    asked = spark.createDataFrame([(*p, 3) for p in test] + [(None, "i001", 3), ("u001", None, 3), (None, None, 3)], kinds)
+    got = {(r.user, r.item): r.prediction for r in recommend.cf_predictions(ratings, asked).collect()}
+    plain = recommend.cf_predictions(ratings, asked, top=recommend.neighbours(ratings, asked, recommend.pearson(ratings)))
+    assert got == {(r.user, r.item): pytest.approx(r.prediction) for r in plain.collect()} and len(got) == len(test) + 3
